@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.lines import line_dedup
 from tidemark.llm.mixing import mix_report
+from tidemark.llm.near import near_classes
 from tidemark.llm.quality import quality_rules
 
 
@@ -16,6 +17,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_classes(_table(spark, sf_dir, "documents"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = line_dedup(_table(spark, sf_dir, "documents"))
     kept = F.sha2(F.coalesce("text", F.lit("")), 256)
@@ -32,6 +37,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_dedup": op1_near_dedup,
     "op2_line_dedup": op2_line_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op10_mixing": op10_mixing,
