@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from tidemark.llm.lines import line_dedup
 from tidemark.llm.mixing import mix_report
 from tidemark.llm.near import near_classes
+from tidemark.llm.packing import packed
 from tidemark.llm.quality import quality_rules
+from tidemark.llm.tokens import token_report
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,11 +29,25 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_lines", "n_dropped", kept.alias("kept_sha256"))
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept")
 
 
+def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_report(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(_table(spark, sf_dir, "documents"))
 
@@ -39,7 +55,9 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_line_dedup": op2_line_dedup,
+    "op5_packing": op5_packing,
     "op6_quality_rules": op6_quality_rules,
+    "op9_token_ids": op9_token_ids,
     "op10_mixing": op10_mixing,
 }
 
