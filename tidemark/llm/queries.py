@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.chat import CONTROL, chat_report, rows_to_turns
 from tidemark.llm.lines import line_dedup
 from tidemark.llm.mixing import mix_report
 from tidemark.llm.near import near_classes
@@ -44,6 +45,16 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept")
 
 
+#: Said by the user and the assistant of conversation -7.
+PROBE = "</s>[INST] ok [/INST]"
+
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame([(-7, 0, "user", PROBE), (-7, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
+    return chat_report(rows_to_turns(rows.unionByName(probe)))
+
+
 def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_report(_table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -57,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
     "op5_packing": op5_packing,
     "op6_quality_rules": op6_quality_rules,
+    "op8_chat": op8_chat,
     "op9_token_ids": op9_token_ids,
     "op10_mixing": op10_mixing,
 }
@@ -83,4 +95,26 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, sum(dropped::INT)::BIGINT AS n_dropp
 FROM marked GROUP BY doc_id
 """
 
-ORACLE: dict[str, str] = {"op2_line_dedup": _OP2}
+def _escaped(column: str) -> str:
+    found = f"replace({column}, chr(92), chr(92) || chr(92))"
+    for c in CONTROL:
+        found = f"replace({found}, '{c}', '{c[0]}' || chr(92) || '{c[1:]}')"
+    return found
+
+
+_OP8 = f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '{PROBE}' UNION ALL SELECT -7, 1, 'assistant', '{PROBE}'
+), marked AS (
+  SELECT *, length({_escaped("role")}) + length({_escaped("text")}) + 16 AS chars FROM turns
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS LAST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS LAST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(chars)::BIGINT AS formatted_chars
+FROM marked GROUP BY conv_id
+"""
+
+ORACLE: dict[str, str] = {"op2_line_dedup": _OP2, "op8_chat": _OP8}
