@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.chat import CONTROL, chat_report, rows_to_turns
+from tidemark.llm.licenses import scan_licenses
 from tidemark.llm.lines import line_dedup
 from tidemark.llm.mixing import mix_report
 from tidemark.llm.near import near_classes
@@ -30,6 +31,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_lines", "n_dropped", kept.alias("kept_sha256"))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -66,6 +71,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_line_dedup": op2_line_dedup,
+    "op4_licenses": op4_licenses,
     "op5_packing": op5_packing,
     "op6_quality_rules": op6_quality_rules,
     "op8_chat": op8_chat,
