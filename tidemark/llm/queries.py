@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.ann import nearest
 from tidemark.llm.chat import CONTROL, chat_report, rows_to_turns
 from tidemark.llm.licenses import scan_licenses
 from tidemark.llm.lines import line_dedup
@@ -50,6 +51,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept")
 
 
+def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_table(spark, sf_dir, "embeddings"))
+
+
 #: Said by the user and the assistant of conversation -7.
 PROBE = "</s>[INST] ok [/INST]"
 
@@ -74,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_licenses": op4_licenses,
     "op5_packing": op5_packing,
     "op6_quality_rules": op6_quality_rules,
+    "op7_ann": op7_ann,
     "op8_chat": op8_chat,
     "op9_token_ids": op9_token_ids,
     "op10_mixing": op10_mixing,
