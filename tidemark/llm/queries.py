@@ -15,6 +15,7 @@ from tidemark.llm.mixing import mix_report
 from tidemark.llm.near import near_classes
 from tidemark.llm.packing import packed
 from tidemark.llm.quality import quality_rules
+from tidemark.llm.suffix import suffix_report
 from tidemark.llm.tokens import token_report
 
 
@@ -32,6 +33,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_lines", "n_dropped", kept.alias("kept_sha256"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_report(_table(spark, sf_dir, "documents"))
+
+
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_table(spark, sf_dir, "documents"))
 
@@ -76,6 +81,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_line_dedup": op2_line_dedup,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_licenses": op4_licenses,
     "op5_packing": op5_packing,
     "op6_quality_rules": op6_quality_rules,
