@@ -223,7 +223,8 @@ def delta_encoded(response: DataFrame) -> DataFrame:
     others = [c for c in response.columns if c != "time"]
     packed = response.agg(F.array_sort(F.collect_list(F.struct("time", *others))).alias("p"))
     delta = F.transform("p", lambda x, i: x["time"] - F.when(i > 0, F.get(F.col("p"), i - 1)["time"]).otherwise(0))
-    return packed.select(delta.alias("time_delta"), *(F.transform("p", lambda x, c=c: x[c]).alias(c) for c in others))
+    field = lambda c: F.transform("p", lambda x: x[c]).alias(c)
+    return packed.select(delta.alias("time_delta"), *map(field, others))
 
 
 def aggregate_windows(raw: DataFrame, windows: DataFrame) -> DataFrame:
