@@ -74,15 +74,20 @@ def aggregate(raw: DataFrame, metric: str, start: int, end: int) -> DataFrame:
     first, last = own.agg(F.min("time"), F.max("time")).first()
     if first is None or end <= first or start > last:
         return _empty(raw, start)
-    lo, hi = max(start, first), min(end, last)
+    total = _summed(raw, metric, max(start, first), min(end, last))
+    return total.select(F.lit(start).cast("long").alias("time"), *(c.alias(k) for k, c in or_empty().items()))
+
+
+def _summed(raw: DataFrame, metric: str, lo: int, hi: int) -> DataFrame:
+    """The aggregate of [lo, hi) within the metric's samples, in the type of the values."""
+    own = raw.where(F.col("metric") == metric)
     close = own.where(F.col("time") >= hi).agg(F.min("time")).first()[0]
     rows = segments(own.where((F.col("time") >= lo) & (F.col("time") <= close)))
     # the window's first sample has no sample before it in the window: it holds from the window's start
     since = F.when(F.col("prev") == F.col("time"), F.lit(lo)).otherwise(F.col("prev"))
     n = F.when(F.col("time") < hi, 1).otherwise(0)
     fields = held(F.col("value"), F.least(F.col("time"), F.lit(hi)) - since, n, is_decimal(raw))
-    total = rows.select(*(c.alias(k) for k, c in fields.items())).agg(*added())
-    return total.select(F.lit(start).cast("long").alias("time"), *(c.alias(k) for k, c in or_empty().items()))
+    return rows.select(*(c.alias(k) for k, c in fields.items())).agg(*added())
 
 
 def aggregate_from_levels(raw: DataFrame, levels: DataFrame, config: SeriesConfig, metric: str, start: int, end: int) -> DataFrame:
@@ -101,7 +106,7 @@ def aggregate_from_levels(raw: DataFrame, levels: DataFrame, config: SeriesConfi
     rows = own_level(levels, metric, level).where((F.col("time") < b) & (F.col("time") + F.col("repeat") * level > a))
     lo_i, hi_i = F.greatest(F.col("time"), F.lit(a)), F.least(F.col("time") + F.col("repeat") * level, F.lit(b))
     middle = rows.withColumns(times(((hi_i - lo_i) / level).cast("long"), is_decimal(rows, "sum"))).select(*FIELDS)
-    parts = [middle] + [aggregate(raw, metric, x, y).select(*FIELDS) for x, y in ((lo, a), (b, hi)) if x < y]
+    parts = [middle] + [_summed(raw, metric, x, y) for x, y in ((lo, a), (b, hi)) if x < y]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
