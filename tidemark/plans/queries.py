@@ -6,6 +6,7 @@ by priority (disordered arrivals). Values are decimals, so that sums are the sam
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -151,6 +152,42 @@ def orphans_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orphans(orders, items)
 
 
+def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table as a stream into a store, in one available-now run; then the store."""
+    import tempfile
+
+    from tidemark.sources.store import Store
+    from tidemark.streaming.ingest import write_to_store
+
+    told = spark.conf.get("spark.checkpoint.dir", None)
+    folder = f"{told.rstrip('/')}/stream-{uuid.uuid4().hex}" if told else f"file://{tempfile.mkdtemp(prefix='tidemark-stream-')}"
+    source = spark.read.parquet(f"{sf_dir}/events.parquet")
+    stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    time = (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("time")
+    samples = stream.select(F.col("event_type").alias("metric"), F.col("event_id").alias("arrival"), time, "value")
+    store, configs = Store(spark, f"{folder}/store"), dict.fromkeys(TYPES, CONFIG)
+    store.configure(configs)
+    query = write_to_store(samples, store, configs, f"{folder}/checkpoint")
+    query.awaitTermination()
+    return store
+
+
+def stream_accept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return streamed(spark, sf_dir).raw()
+
+
+def stream_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = expand(streamed(spark, sf_dir).levels().where(F.col("level") == HOUR))
+    return rows.select("metric", "time", "minimum", "maximum", "count", "active_time")
+
+
+def compact_invariance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = streamed(spark, sf_dir)
+    store.compact()
+    rows = expand(store.levels().where(F.col("level") == HOUR))
+    return rows.select("metric", "time", "minimum", "maximum", "count", "active_time")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "timeline_level": ask(AGGREGATE_TIMELINE, START, START + 9 * DAY, 2 * HOUR),
     "accept_filter": accept_filter,
@@ -181,6 +218,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "block_summary": block_query,
     "mean_weighted": mean_weighted,
     "orphans_anti": orphans_anti,
+    "stream_accept": stream_accept,
+    "stream_levels": stream_levels,
+    "compact_invariance": compact_invariance,
 }
 
 _LAST = "(SELECT max(time) FROM raw)"
@@ -238,6 +278,8 @@ rs AS (SELECT time, value, lag(time) OVER (ORDER BY time) AS pt FROM rs0)"""
 
 
 _M = HOUR - S
+#: The fields that doubles give in any order.
+_EXACT = "min(value)::DOUBLE AS minimum, max(value)::DOUBLE AS maximum, sum(n)::BIGINT AS count, sum(d)::BIGINT AS active_time"
 _WINDOWS = f"""w AS (SELECT i AS window_id, [{", ".join(f"'{t}'" for t in TYPES)}][i % 5 + 1] AS metric, {START} + i * 7 * {HOUR} + i AS start FROM (SELECT unnest(range(90)) AS i))"""
 
 ORACLE: dict[str, str] = {
@@ -291,4 +333,7 @@ nb AS (SELECT *, (row_number() OVER (PARTITION BY metric ORDER BY time) - 1) //
 SELECT metric, block, min(time) AS first, max(time) AS last, {_SUMS} FROM nb GROUP BY metric, block""",
     "mean_weighted": _level(HOUR, fields="CASE WHEN sum(n) > 0 THEN sum(value * n)::DOUBLE / sum(n) END AS mean, CASE WHEN sum(d) > 0 THEN sum(value * d::DECIMAL(18,0))::DOUBLE / sum(d) END AS weighted_mean"),
     "orphans_anti": "SELECT DISTINCT 'k' || o_orderkey AS path FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)",
+    "stream_accept": f"WITH {_raw()} SELECT metric, time, value::DOUBLE AS value FROM raw",
+    "stream_levels": _level(HOUR, fields=_EXACT),
+    "compact_invariance": _level(HOUR, fields=_EXACT),
 }

@@ -142,8 +142,8 @@ class Store:
 
     # writing
 
-    def _write(self, rows: DataFrame, kind: str, level_of_compression: int = 1) -> str:
-        part = f"{uuid.uuid4().hex}"
+    def _write(self, rows: DataFrame, kind: str, level_of_compression: int = 1, name: str = "") -> str:
+        part = uuid.uuid4().hex + (f"-{name}" if name else "")
         keys = (["level"] if kind == "level" else []) + ["shard"]
         rows = rows.withColumn("shard", F.pmod(F.xxhash64("metric"), F.lit(self.shards)).cast("int"))
         # salted by time: a metric with a third of all rows fills several files
