@@ -72,10 +72,10 @@ def test_runs_stay_runs(spark):
 def test_requests(data):
     points, raw, levels = data
     rng = random.Random(5)
-    for m in points:
+    for m in ("a", "five"):
         span = points[m][-1][0]
         for kind in ("AGGREGATE", "AGGREGATE_TIMELINE", "FLEX_TIMELINE"):
-            for _ in range(4 if m in "ab" else 2):
+            for _ in range(1 if kind == "AGGREGATE" else 5 if m == "a" else 2):
                 start = rng.randint(0, span)
                 end = start + rng.choice([1, 90, 1500, span])
                 interval = rng.choice([0, 40, 100, 350, 1000, 4500, 20000, -1])
@@ -125,7 +125,7 @@ def test_aggregates_by_other_ways(spark, data):
     got = {r.window_id: tuple(r[c] for c in FIELDS) for r in aggregate_windows(raw, spark.createDataFrame(windows, "window_id long, metric string, start long, end long")).collect()}
     for i, m, start, end in windows:
         assert got[i] == pytest.approx(model.aggregate(points.get(m, []), start, end)), (m, start, end)
-    for _, m, start, end in windows[::9]:
+    for _, m, start, end in windows[::20]:
         if m in points:
             (row,) = rows_of(aggregate_from_levels(raw, levels, CONFIG, m, start, end))
             assert row[1] == pytest.approx(model.aggregate(points[m], start, end)), (m, start, end)

@@ -256,9 +256,11 @@ def aggregate_windows(raw: DataFrame, windows: DataFrame) -> DataFrame:
     middle = inner.where(whole).join(totals, ["metric", "cell"]).select("window_id", *FIELDS)
     a, b = F.greatest(left, F.col("lo")), F.least(right, F.col("hi"))
     border = inner.where(~whole).join(parts.select("metric", "cell", "prev", "time", "value"), ["metric", "cell"])
-    border = border.withColumns({"a": a, "b": b}).where((F.col("time") >= F.col("a")) & (F.col("prev") < F.col("b")) & (F.col("a") <= F.col("b")))
+    # a window clipped to the last sample alone has that sample's value, held for no time
+    alone = (F.col("lo") == F.col("hi")) & (F.col("time") == F.col("lo"))
+    border = border.withColumns({"a": a, "b": b}).where((F.col("time") >= F.col("a")) & (F.col("prev") < F.col("b")) & (F.col("a") <= F.col("b")) | alone)
     dd = F.least(F.col("time"), F.col("b")) - F.greatest(F.col("prev"), F.col("a"))
     nn = F.when((cell(F.col("time")) == F.col("cell")) & (F.col("time") < F.col("hi")), 1).otherwise(0)
-    border = border.where((dd > 0) | (nn > 0)).select("window_id", *(c.alias(k) for k, c in held(F.col("value"), dd, nn, decimal).items()))
+    border = border.where((dd > 0) | (nn > 0) | alone).select("window_id", *(c.alias(k) for k, c in held(F.col("value"), F.greatest(dd, F.lit(0)), nn, decimal).items()))
     sums = middle.unionByName(border).groupBy("window_id").agg(*added())
     return windows.select("window_id", "start").join(sums, "window_id", "left").select("window_id", "start", *(c.alias(k) for k, c in or_empty().items()))
