@@ -2,7 +2,8 @@
 
 Ids: the tokenizer drops white space and never joins text across it, so a text's ids are those
 of its white-space-separated chunks one after another; each worker keeps the ids of chunks it has
-seen. Special-token strings inside a text are what the tokenizers library makes of them.
+seen. Chunks of ASCII and Latin-1 letters are split here and given to the library's model piece
+by piece; all others go through its whole tokenizer. Special-token strings inside a text are what the tokenizers library makes of them.
 
 Format: a dataset of packs in ascending doc_id order. A pack is one self-contained byte string
 (little-endian):
@@ -21,6 +22,7 @@ Columns other than doc_id and text are not read.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -39,7 +41,20 @@ TRAIN_DOCS, TRAIN_IDS, DICT_BYTES = 2000, 1 << 14, 1 << 16
 PACK_BYTES = 1 << 20
 LEVEL = 3
 #: Chunks whose ids a worker keeps, and chunks given to the tokenizer at once.
-KEEP, AT_ONCE = 400_000, 2048
+KEEP, AT_ONCE = 500_000, 2048
+
+
+#: Chunks that the tokenizer's own steps (compose, lower-case, split, bytes as characters) leave simple: ASCII and the
+#: letters of Latin-1, whose composed forms and lower case are their own. Others go through the whole tokenizer.
+PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+
+
+def byte_characters() -> dict[int, str]:
+    """The characters that stand for bytes: printable ones for themselves, the others by count from 256 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
 class ChunkEncoder:
@@ -49,14 +64,38 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.end = b"" if end_id is None else struct.pack("<I", end_id)
         self.seen: dict[str, bytes] = {}
-
-    def learn(self, chunks: list[str]) -> None:
+        self.before: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        characters = byte_characters()
+        self.letters = {ord(c): "".join(characters[b] for b in c.encode()) for c in map(chr, range(0xC0, 0x100))}
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+
+    def piece(self, piece: str) -> bytes:
+        found = self.pieces.get(piece)
+        if found is None:
+            if len(self.pieces) > KEEP:
+                self.pieces.clear()
+            ids = [t.id for t in self.model.tokenize(piece if piece.isascii() else piece.translate(self.letters))]
+            found = self.pieces[piece] = struct.pack(f"<{len(ids)}I", *ids)
+        return found
+
+    def learn(self, chunks: set[str]) -> None:
+        """Ids of new chunks, from the generation before where it has them."""
         if len(self.seen) > KEEP:
-            self.seen.clear()
-        for at in range(0, len(chunks), AT_ONCE):
-            part = chunks[at : at + AT_ONCE]
+            self.before, self.seen = self.seen, {}
+        rest = []
+        for chunk in chunks:
+            if chunk in self.before:
+                self.seen[chunk] = self.before[chunk]
+            elif PLAIN.fullmatch(chunk) and not any(t in chunk for t in self.special):
+                self.seen[chunk] = b"".join(map(self.piece, PIECES.findall(chunk.lower())))
+            else:
+                rest.append(chunk)
+        for at in range(0, len(rest), AT_ONCE):
+            part = rest[at : at + AT_ONCE]
             for chunk, found in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
                 self.seen[chunk] = np.array(found.ids, "<u4").tobytes()
 
@@ -72,15 +111,14 @@ class ChunkEncoder:
                     text = text.replace(c, " ")
                 group.append(text.split(" "))
                 at += 1
-            seen = self.seen
-            new = {c for chunks in group for c in chunks if c not in seen}
+            every = set().union(*group)
+            new = every.difference(self.seen)
             if new:
-                self.learn(sorted(new))
-                seen = self.seen
-                if len(seen) <= len(new):  # forgotten meanwhile
-                    self.learn(sorted({c for chunks in group for c in chunks if c not in seen}))
+                self.learn(new)
+                if len(self.seen) < len(every):  # a new generation: what this group needs comes along
+                    self.learn(every.difference(self.seen))
             for chunks in group:
-                yield b"".join(map(seen.__getitem__, chunks)) + self.end
+                yield b"".join(map(self.seen.__getitem__, chunks)) + self.end
 
 
 _encoders: dict[tuple, ChunkEncoder] = {}
