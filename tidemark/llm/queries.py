@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.ann import nearest
 from tidemark.llm.chat import CONTROL, chat_report, rows_to_turns
-from tidemark.llm.licenses import scan_licenses
+from tidemark.llm.licenses import BASE, COVER, TEMPLATES, scan_licenses
 from tidemark.llm.lines import line_dedup
 from tidemark.llm.mixing import mix_report
 from tidemark.llm.near import near_classes
@@ -135,4 +135,39 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM marked GROUP BY conv_id
 """
 
-ORACLE: dict[str, str] = {"op2_line_dedup": _OP2, "op8_chat": _OP8}
+def _op4() -> str:
+    """Every alignment of every template is counted here; the method looks up rare words only."""
+    words, keys, base = [], [], []
+    for t, template in enumerate(TEMPLATES):
+        parts, key = template.text.split(), template.key.split()
+        at = next(i for i in range(len(parts)) if parts[i : i + len(key)] == key)
+        words += [f"({t}, {k}, '{w}', {int(at <= k < at + len(key))})" for k, w in enumerate(parts)]
+        keys.append(f"({t}, '{template.label}', {len(parts)}, {len(key)})")
+    for b, (phrase, label) in enumerate(BASE.items()):
+        base += [f"({b}, {k}, '{w}', '{label}', {len(phrase.split())})" for k, w in enumerate(phrase.split())]
+    return rf"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+), words AS (
+  SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS pos FROM docs
+), tw(t, k, word, in_key) AS (VALUES {", ".join(words)}), tk(t, label, size, key_size) AS (VALUES {", ".join(keys)}),
+bw(b, k, word, label, size) AS (VALUES {", ".join(base)}),
+base AS (
+  SELECT doc_id, pos - k AS start, label FROM words JOIN bw ON words.word = bw.word
+  GROUP BY doc_id, pos - k, b, label, size HAVING count(*) = size
+), met AS (
+  SELECT doc_id, tw.t, pos - k AS d, count(*) AS n, sum(in_key) AS in_key FROM words JOIN tw ON words.word = tw.word GROUP BY doc_id, tw.t, pos - k
+), more AS (
+  SELECT doc_id, label, n::DOUBLE / size AS share FROM met JOIN tk ON met.t = tk.t WHERE in_key = key_size AND n::DOUBLE / size >= {COVER}
+), b AS (
+  SELECT doc_id, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM base GROUP BY doc_id
+), l AS (
+  SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM base UNION ALL SELECT doc_id, label FROM more) GROUP BY doc_id
+), m AS (SELECT doc_id, max(share) AS share FROM more GROUP BY doc_id)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0)::DOUBLE END AS score
+FROM docs d LEFT JOIN b ON d.doc_id = b.doc_id LEFT JOIN l ON d.doc_id = l.doc_id LEFT JOIN m ON d.doc_id = m.doc_id
+"""
+
+
+ORACLE: dict[str, str] = {"op2_line_dedup": _OP2, "op4_licenses": _op4(), "op8_chat": _OP8}
