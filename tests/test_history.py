@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from tidemark.functions.algebra import FIELDS
 from tidemark.operators.config import SeriesConfig
-from tidemark.operators.hierarchy import expand, hierarchy
+from tidemark.operators.hierarchy import expand, hierarchy, rolled_up
 from tidemark.operators.samples import accept
 from tidemark.plans.history import Request, ResponseTooLarge, aggregate_from_levels, aggregate_windows, delta_encoded, history
 
@@ -61,6 +61,14 @@ def test_levels(data):
             close(sorted(got.get((m, level), {}).items()), sorted(model.level_rows(p, level).items()))
 
 
+def test_rolled_up(data):
+    points, raw, levels = data
+    last = raw.groupBy("metric").agg(F.max("time").alias("last"))
+    rows = expand(rolled_up(levels.where("level = 100"), CONFIG, last)).select("metric", "level", "time", *FIELDS)
+    direct = expand(levels).select("metric", "level", "time", *FIELDS)
+    close([(r[:3], r[3:]) for r in sorted(map(tuple, rows.collect()))], [(r[:3], r[3:]) for r in sorted(map(tuple, direct.collect()))])
+
+
 def test_runs_stay_runs(spark):
     raw = spark.createDataFrame([("x", 110, 2.0), ("x", 100_000_000_000_110, 4.0)], "metric string, time long, value double")
     rows = hierarchy(raw, SeriesConfig(100, 100_000, 10)).collect()

@@ -17,30 +17,33 @@ from tidemark.operators.samples import segments
 COLUMNS = ("metric", "level", "time", "repeat", *FIELDS)
 
 
-def base_level(raw: DataFrame, level: int, width: tuple[int, int] | None = None, complete_only: bool = True) -> DataFrame:
-    """Rows (COLUMNS) of one level straight from raw (metric, time, value)."""
+def level_rows(raw: DataFrame, levels: list[int], width: tuple[int, int] | None = None) -> DataFrame:
+    """Rows (COLUMNS) of levels straight from raw (metric, time, value): one pass over the samples and one exchange, in
+    which coarse levels are nearly free, as each task adds their parts up before."""
     decimal = is_decimal(raw)
-    seg = segments(raw, width)
     last = raw.groupBy("metric").agg(F.max("time").alias("__last"))
-    seg = seg.withColumns({"b0": F.expr(f"prev div {level}"), "b1": F.expr(f"time div {level}")})
+    one, lv = F.lit(1).cast("long"), F.col("level")
+    seg = segments(raw, width).withColumn("level", F.explode(F.array(*(F.lit(x).cast("long") for x in levels))))
+    seg = seg.withColumns({"b0": F.expr("prev div level"), "b1": F.expr("time div level")})
     part = lambda at, duration, n, repeat: F.struct(at.alias("b"), duration.alias("d"), F.lit(n).cast("long").alias("n"), repeat.alias("repeat"))
-    one, lv = F.lit(1).cast("long"), F.lit(level).cast("long")
     # the three parts of a segment: up to the end of its first interval, whole intervals, from the start of its last
     single = F.array(part(F.col("b1"), F.col("time") - F.col("prev"), 1, one))
     head = part(F.col("b0"), (F.col("b0") + 1) * lv - F.col("prev"), 0, one)
     run = part(F.col("b0") + 1, lv, 0, F.col("b1") - F.col("b0") - 1)
     tail = part(F.col("b1"), F.col("time") - F.col("b1") * lv, 1, one)
     parts = F.when(F.col("b0") == F.col("b1"), single).otherwise(F.filter(F.array(head, run, tail), lambda p: p["repeat"] > 0))
-    rows = seg.select("metric", "value", F.explode(parts).alias("p")).select("metric", "value", "p.*")
-    rows = rows.withColumn("whole", (F.col("d") == lv) & (F.col("n") == 0) & (F.col("repeat") > 1))
+    rows = seg.select("metric", "level", "value", F.explode(parts).alias("p")).select("metric", "level", "value", "p.*")
     fields = held(F.col("value"), F.col("d"), F.col("n"), decimal)
-    flat = rows.select("metric", "b", "repeat", "whole", *(c.alias(k) for k, c in fields.items()))
-    # an interval in the middle of a gap has this one part; the others meet in their interval
-    mixed = flat.where("not whole").groupBy("metric", "b").agg(*added()).withColumn("repeat", one)
-    runs = flat.where("whole").drop("whole").unionByName(mixed)
-    if complete_only:
-        runs = runs.join(last, "metric").where((F.col("b") + F.col("repeat")) * lv <= F.col("__last"))
-    return runs.select("metric", lv.alias("level"), (F.col("b") * lv).alias("time"), "repeat", *FIELDS)
+    flat = rows.select("metric", "level", "b", "repeat", *(c.alias(k) for k, c in fields.items()))
+    # a run is whole intervals with this one part each; all other parts meet in their interval
+    mixed = flat.where("repeat = 1").groupBy("metric", "level", "b").agg(*added()).withColumn("repeat", one)
+    runs = flat.where("repeat > 1").unionByName(mixed).join(last, "metric")
+    runs = runs.where((F.col("b") + F.col("repeat")) * lv <= F.col("__last"))
+    return runs.select("metric", "level", (F.col("b") * lv).alias("time"), "repeat", *FIELDS)
+
+
+def base_level(raw: DataFrame, level: int, width: tuple[int, int] | None = None) -> DataFrame:
+    return level_rows(raw, [level], width)
 
 
 def next_level(rows: DataFrame, factor: int, last: DataFrame) -> DataFrame:
@@ -67,9 +70,14 @@ def next_level(rows: DataFrame, factor: int, last: DataFrame) -> DataFrame:
 
 
 def hierarchy(raw: DataFrame, config: SeriesConfig) -> DataFrame:
-    """Rows of all levels of metrics with one config: the lowest from samples, each other from the one below."""
-    last = raw.groupBy("metric").agg(F.max("time").alias("last"))
-    out = rows = base_level(raw, config.interval_min)
+    """Rows of all levels of metrics with one config."""
+    return level_rows(raw, config.levels())
+
+
+def rolled_up(rows: DataFrame, config: SeriesConfig, last: DataFrame) -> DataFrame:
+    """All levels from rows of the lowest, without samples: each level from the one below. The same rows as
+    hierarchy() makes, but for where runs are cut."""
+    out = rows
     for _ in config.levels()[1:]:
         rows = next_level(rows, config.interval_factor, last)
         out = out.unionByName(rows)
