@@ -9,9 +9,10 @@ weighted Jaccard similarity. Bands of coordinates propose candidates, which are
 exact similarity, and verified links are closed to classes.
 
 In a band's bucket nobody is paired with everybody: each member is paired with the bucket's hub
-(the member found in the largest buckets, which is the original among edited copies) and with its
-neighbour in an order that keeps alike signatures together; members that a round leaves outside
-their hub's class elect a new hub. Identical texts are folded before.
+(the member found in the largest buckets, which is the original among edited copies). Where that
+leaves members outside their hub's class, these elect a new hub, and all of the bucket are paired
+with their neighbours of other classes, in an order that keeps alike signatures together.
+Identical texts are folded before.
 
 Null, empty and white-space texts are classes of their own. Rows with one doc_id share a class. A
 row with a null doc_id has the class of a document with the same words, or null; it links nothing
@@ -147,16 +148,16 @@ def _celled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of neighbours within a bucket, of rows sorted by bucket and order."""
+    """Pairs of neighbours of different classes within a bucket, of rows sorted by bucket and order."""
     last = None
     for batch in batches:
-        key, node, n = (batch.column(c).to_numpy() for c in ("key", "node", "n"))
+        key, node, n, label = (batch.column(c).to_numpy() for c in ("key", "node", "n", "label"))
         if last is not None:
-            key, node, n = (np.r_[x, y] for x, y in zip(last, (key, node, n), strict=True))
+            key, node, n, label = (np.r_[x, y] for x, y in zip(last, (key, node, n, label), strict=True))
         if not len(key):
             continue
-        last = (key[-1:], node[-1:], n[-1:])
-        same = np.flatnonzero((key[1:] == key[:-1]) & (node[1:] != node[:-1]))
+        last = (key[-1:], node[-1:], n[-1:], label[-1:])
+        same = np.flatnonzero((key[1:] == key[:-1]) & (label[1:] != label[:-1]))
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node[same], node[same + 1], n[same], n[same + 1])], ["a", "b", "na", "nb"])
 
 
@@ -208,13 +209,11 @@ def near_classes(docs: DataFrame) -> DataFrame:
     rows = written(rows.join(often, "key"), "near-buckets")
     fame = rows.groupBy("node").agg(F.sum("held").alias("fame"))
     rows = written(rows.join(fame, "node").select("key", "node", "n", "ord", "fame"), "near-rows")
-    chain = rows.repartitionByRange("key", "ord", "node").sortWithinPartitions("key", "ord", "node").select("key", "node", "n")
-    chain = chain.mapInArrow(_chained, "a long, b long, na long, nb long")
-    edges, tried = None, None
+    edges, tried, chain = None, None, None
     for _ in range(ROUNDS):
         hub = rows.groupBy("key").agg(F.max(F.struct("fame", -F.col("node"), "n")).alias("h")).select("key", (-F.col("h.col2")).alias("a"), F.col("h.n").alias("na"))
         pairs = rows.join(hub, "key").select("a", F.col("node").alias("b"), "na", F.col("n").alias("nb"))
-        pairs = pairs.unionByName(chain) if tried is None else pairs
+        pairs = pairs if chain is None else pairs.unionByName(chain)
         close = F.least("na", "nb") >= SIMILAR * F.greatest("na", "nb")
         pairs = pairs.where("a != b").where(close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if tried is not None:
@@ -226,9 +225,13 @@ def near_classes(docs: DataFrame) -> DataFrame:
         edges = new if edges is None else edges.unionByName(new)
         tried = pairs if tried is None else tried.unionByName(pairs)
         labels = classes(edges)
-        own = lambda df, c, to: df.join(labels.select(F.col("node").alias(c), F.col("label").alias(to)), c, "left").withColumn(to, F.coalesce(to, c))  # noqa: B023, E731
-        rows = own(own(rows.join(hub.select("key", "a"), "key"), "node", "ln"), "a", "la").where("ln != la").select("key", "node", "n", "ord", "fame")
-        rows = written(rows.join(rows.groupBy("key").agg(F.count("*").alias("held")).where("held > 1"), "key", "left_semi"), "near-rest")
+        named_by = lambda df, c, to: df.join(labels.select(F.col("node").alias(c), F.col("label").alias(to)), c, "left").withColumn(to, F.coalesce(to, c))  # noqa: B023, E731
+        held = written(named_by(named_by(rows.join(hub.select("key", "a"), "key"), "node", "label"), "a", "up"), "near-held")
+        apart = held.where("label != up")
+        mixed = held.join(apart.select("key").distinct(), "key", "left_semi")
+        ordered = mixed.repartitionByRange("key", "ord", "node").sortWithinPartitions("key", "ord", "node")
+        chain = ordered.select("key", "node", "n", "label").mapInArrow(_chained, "a long, b long, na long, nb long")
+        rows = written(apart.select("key", "node", "n", "ord", "fame"), "near-rest")
     named = some.select("doc_id", "c1", "c2").join(reps.select("c1", "c2", "node"), ["c1", "c2"], "left")
     if edges is None:
         named = named.select("doc_id", F.col("node").alias("class_id"))
