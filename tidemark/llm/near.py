@@ -222,9 +222,10 @@ def near_classes(docs: DataFrame) -> DataFrame:
         if not pairs.limit(1).count():
             break
         new = written(verified(pairs, docs), "near-links")
-        edges = new if edges is None else edges.unionByName(new)
         tried = pairs if tried is None else tried.unionByName(pairs)
-        labels = classes(edges)
+        if edges is None or new.limit(1).count():
+            edges = new if edges is None else edges.unionByName(new)
+            labels = classes(edges)
         named_by = lambda df, c, to: df.join(labels.select(F.col("node").alias(c), F.col("label").alias(to)), c, "left").withColumn(to, F.coalesce(to, c))  # noqa: B023, E731
         held = written(named_by(named_by(rows.join(hub.select("key", "a"), "key"), "node", "label"), "a", "up"), "near-held")
         apart = held.where("label != up")
