@@ -60,6 +60,21 @@ def test_near_classes(spark):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted({find(i) for i in root})
 
 
+def test_near_shared_boilerplate(spark):
+    """Pages alike in 85 % of their shingles aren't links, the two versions of each body are."""
+    rng, pairs = random.Random(9), 100
+    common, first, second = words(rng, 425), [], []
+    for _ in range(pairs):
+        body = [f"b{rng.randrange(10**9)}" for _ in range(75)]
+        first.append(common + body)
+        second.append(common + body[:25] + [f"c{rng.randrange(10**9)}" for _ in range(50)])
+    texts = [" ".join(t) for t in first + second]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for x, y in zip(map(shingles, texts[:pairs]), map(shingles, texts[pairs:]), strict=True):
+        assert 0.8 <= sum((x & y).values()) / sum((x | y).values()) < 0.83
+    assert {r.doc_id: r.class_id for r in near_classes(docs).collect()} == {i: i % pairs for i in range(2 * pairs)}
+
+
 def test_near_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert near_classes(docs).count() == 0 and without_copies(docs).count() == 0

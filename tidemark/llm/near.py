@@ -9,10 +9,12 @@ weighted Jaccard similarity. Bands of coordinates propose candidates, which are
 exact similarity, and verified links are closed to classes.
 
 In a band's bucket nobody is paired with everybody: each member is paired with the bucket's hub
-(the member found in the largest buckets, which is the original among edited copies). Where that
-leaves members outside their hub's class, these elect a new hub, and all of the bucket are paired
-with their neighbours of other classes, in an order that keeps alike signatures together.
-Identical texts are folded before.
+(the member found in the largest buckets, which is the original among edited copies), and members
+left outside their hub's class elect a new one. Members of buckets that still hold several classes
+are taken to the end by an exact prefix filter: a document's cells are ordered, seldom ones first,
+and two documents can be similar only if they share a cell early enough in both orders. Within such
+a cell, hubs are tried first and then every pair of different classes. No pair of a bucket is left
+untried unless its classes are one or the filter excludes it. Identical texts are folded before.
 
 Null, empty and white-space texts are classes of their own. Rows with one doc_id share a class. A
 row with a null doc_id has the class of a document with the same words, or null; it links nothing
@@ -34,7 +36,10 @@ SHINGLE = 5
 SIMILAR = 0.8
 BANDS, ROWS = 24, 4
 COORDINATES = BANDS * ROWS
-ROUNDS = 3
+#: Rounds of hubs, before all that is left is tried.
+ROUNDS = 2
+#: Cells are ordered by counts in so many buckets over about so many documents; any order is right, seldom first is fast.
+SKETCH, SKETCH_DOCS = 1 << 18, 50_000
 #: Words handled at once in a worker.
 PART_WORDS = 1 << 19
 
@@ -147,18 +152,24 @@ def _celled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), _lists(cells, counts)], ["node", "cells"])
 
 
-def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of neighbours of different classes within a bucket, of rows sorted by bucket and order."""
-    last = None
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(SKETCH, np.int64)
     for batch in batches:
-        key, node, n, label = (batch.column(c).to_numpy() for c in ("key", "node", "n", "label"))
-        if last is not None:
-            key, node, n, label = (np.r_[x, y] for x, y in zip(last, (key, node, n, label), strict=True))
-        if not len(key):
-            continue
-        last = (key[-1:], node[-1:], n[-1:], label[-1:])
-        same = np.flatnonzero((key[1:] == key[:-1]) & (label[1:] != label[:-1]))
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node[same], node[same + 1], n[same], n[same + 1])], ["a", "b", "na", "nb"])
+        for _, words, sizes in _parts(batch, "words"):
+            cells, _ = unit_cells(words, sizes)
+            total += np.bincount((cells % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "held"])
+
+
+def prefixes(cells: np.ndarray, counts: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first cells of documents in the sketch's order, their documents and places: those before which so few
+    stand that the rest may still make a document similar to one of 4/5 of its size."""
+    owner = np.repeat(np.arange(len(counts)), counts)
+    order = np.lexsort((cells, sketch[(cells % np.uint64(SKETCH)).astype(np.int64)], owner))
+    place = np.arange(len(cells)) - np.repeat(np.cumsum(counts) - counts, counts)
+    early = np.flatnonzero(5 * (counts[owner] - place) >= 4 * counts[owner])
+    return cells[order][early], owner[early], place[early]
 
 
 def hashed_words(docs: DataFrame) -> DataFrame:
@@ -193,6 +204,88 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return with_a.withColumn("c", common).where(F.col("c") >= SIMILAR * (F.size("ca") + F.size("cb") - F.col("c"))).select("a", "b")
 
 
+def with_fame(rows: DataFrame, tag: str) -> DataFrame:
+    """(key, node, n, pos) of keys with several rows, with how many rows a node meets."""
+    often = rows.groupBy("key").agg(F.count("*").alias("held")).where("held > 1")
+    rows = written(rows.join(often, "key"), tag)
+    fame = rows.groupBy("node").agg(F.sum("held").alias("fame"))
+    return written(rows.join(fame, "node").select("key", "node", "n", "pos", "fame"), tag)
+
+
+#: Whether rows that share a key may be similar: what stands from their places on suffices for c >= 0.8 (na + nb - c).
+CLOSE = "a != b and 9 * least(na - pa, nb - pb) >= 4 * (na + nb)"
+
+
+class Links:
+    """The verified links so far, the pairs tried and the classes of the links."""
+
+    def __init__(self, docs: DataFrame):
+        self.docs, self.edges, self.tried, self.labels = docs, None, None, None
+
+    def label(self, rows: DataFrame, node: str, to: str) -> DataFrame:
+        if self.labels is None:
+            return rows.withColumn(to, F.col(node))
+        return rows.join(self.labels.select(F.col("node").alias(node), F.col("label").alias(to)), node, "left").withColumn(to, F.coalesce(to, node))
+
+    def mixed(self, rows: DataFrame) -> DataFrame:
+        """rows with their labels, of keys that hold several classes."""
+        held = written(self.label(rows, "node", "label"), "near-held")
+        several = held.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y")
+        return held.join(several.select("key"), "key", "left_semi")
+
+    def attempt(self, pairs: DataFrame) -> bool:
+        """Verifies pairs (a, b, na, nb, pa, pb) that weren't tried. False if there are none."""
+        pairs = pairs.where(CLOSE).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        if self.tried is not None:
+            pairs = pairs.join(self.tried, ["a", "b"], "left_anti")
+        pairs = written(pairs, "near-pairs")
+        if not pairs.limit(1).count():
+            return False
+        new = written(verified(pairs, self.docs), "near-links")
+        self.tried = pairs if self.tried is None else self.tried.unionByName(pairs)
+        if new.limit(1).count():
+            self.edges = new if self.edges is None else self.edges.unionByName(new)
+            self.labels = classes(self.edges)
+        return True
+
+    def by_hubs(self, rows: DataFrame) -> None:
+        """Pairs the rows of each key with its hub; those left outside its class elect another."""
+        for _ in range(ROUNDS):
+            best = F.max(F.struct("fame", -F.col("node"), "n", "pos")).alias("h")
+            hub = rows.groupBy("key").agg(best).select("key", (-F.col("h.col2")).alias("a"), F.col("h.n").alias("na"), F.col("h.pos").alias("pa"))
+            pairs = rows.join(hub, "key").select("a", "na", "pa", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
+            if not self.attempt(pairs):
+                break
+            held = self.label(self.label(rows.join(hub.select("key", "a"), "key"), "node", "label"), "a", "up")
+            rows = written(held.where("label != up").select("key", "node", "n", "pos", "fame"), "near-rest")
+
+    def by_prefixes(self, nodes: DataFrame, many: int) -> None:
+        """Tries all pairs of nodes of different classes that can be similar."""
+        spark = self.docs.sparkSession
+        words = hashed_words(self.docs.where("doc_id is not null").join(small(nodes, many), "doc_id", "left_semi"))
+        some = words.where(F.pmod(F.xxhash64("doc_id"), F.lit(many // SKETCH_DOCS + 1)) == 0)
+        counts = some.mapInArrow(_counted, "at long, held long").groupBy("at").agg(F.sum("held").alias("held")).toPandas()  # at most SKETCH
+        sketch = np.zeros(SKETCH, np.int64)
+        sketch[counts["at"].to_numpy(np.int64)] = counts["held"].to_numpy(np.int64)
+        sent = spark.sparkContext.broadcast(sketch)
+
+        def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part, hashes, sizes in _parts(batch, "words"):
+                    cells, counts = unit_cells(hashes, sizes)
+                    key, owner, place = prefixes(cells, counts, sent.value)
+                    node = part.column("doc_id").to_numpy(zero_copy_only=False)
+                    columns = (key.view(np.int64), node[owner], counts[owner], place)
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["key", "node", "n", "pos"])
+
+        rows = with_fame(words.mapInArrow(first, "key long, node long, n long, pos long"), "near-prefixes")
+        rows = written(self.mixed(rows), "near-prefixes").drop("label")
+        self.by_hubs(rows)
+        left = written(self.mixed(rows), "near-left").select("key", "node", "n", "pos", "label")
+        one, two = (left.select("key", *(F.col(c).alias(x) for c, x in zip(("node", "n", "pos", "label"), names, strict=True))) for names in (("a", "na", "pa", "la"), ("b", "nb", "pb", "lb")))
+        self.attempt(one.join(two, "key").where("la != lb and a < b"))
+
+
 def near_classes(docs: DataFrame) -> DataFrame:
     """One row for each of docs: doc_id, class_id (the smallest doc_id of its class), class_links (verified
     links between different texts in the class)."""
@@ -203,36 +296,15 @@ def near_classes(docs: DataFrame) -> DataFrame:
     signed = written(signed, "near-signed")
     some = signed.where("n > 0")
     reps = written(some.where("doc_id is not null").groupBy("c1", "c2").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands")), "near-reps")
-    order = F.expr("bands[(pos + 1) % size(bands)]")
-    rows = reps.select("node", "n", F.posexplode("bands").alias("pos", "key"), "bands").select("node", "n", "key", order.alias("ord"))
-    often = rows.groupBy("key").agg(F.count("*").alias("held")).where("held > 1")
-    rows = written(rows.join(often, "key"), "near-buckets")
-    fame = rows.groupBy("node").agg(F.sum("held").alias("fame"))
-    rows = written(rows.join(fame, "node").select("key", "node", "n", "ord", "fame"), "near-rows")
-    edges, tried, chain = None, None, None
-    for _ in range(ROUNDS):
-        hub = rows.groupBy("key").agg(F.max(F.struct("fame", -F.col("node"), "n")).alias("h")).select("key", (-F.col("h.col2")).alias("a"), F.col("h.n").alias("na"))
-        pairs = rows.join(hub, "key").select("a", F.col("node").alias("b"), "na", F.col("n").alias("nb"))
-        pairs = pairs if chain is None else pairs.unionByName(chain)
-        close = F.least("na", "nb") >= SIMILAR * F.greatest("na", "nb")
-        pairs = pairs.where("a != b").where(close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = written(pairs, "near-pairs")
-        if not pairs.limit(1).count():
-            break
-        new = written(verified(pairs, docs), "near-links")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        if edges is None or new.limit(1).count():
-            edges = new if edges is None else edges.unionByName(new)
-            labels = classes(edges)
-        named_by = lambda df, c, to: df.join(labels.select(F.col("node").alias(c), F.col("label").alias(to)), c, "left").withColumn(to, F.coalesce(to, c))  # noqa: B023, E731
-        held = written(named_by(named_by(rows.join(hub.select("key", "a"), "key"), "node", "label"), "a", "up"), "near-held")
-        apart = held.where("label != up")
-        mixed = held.join(apart.select("key").distinct(), "key", "left_semi")
-        ordered = mixed.repartitionByRange("key", "ord", "node").sortWithinPartitions("key", "ord", "node")
-        chain = ordered.select("key", "node", "n", "label").mapInArrow(_chained, "a long, b long, na long, nb long")
-        rows = written(apart.select("key", "node", "n", "ord", "fame"), "near-rest")
+    rows = with_fame(reps.select("node", "n", F.lit(0).cast("long").alias("pos"), F.explode("bands").alias("key")), "near-rows")
+    links = Links(docs)
+    links.by_hubs(rows)
+    mixed = links.mixed(rows).select(F.col("node").alias("doc_id")).distinct()
+    mixed = written(mixed, "near-mixed")
+    many = mixed.count()
+    if many:
+        links.by_prefixes(mixed, many)
+    edges, labels = links.edges, links.labels
     named = some.select("doc_id", "c1", "c2").join(reps.select("c1", "c2", "node"), ["c1", "c2"], "left")
     if edges is None:
         named = named.select("doc_id", F.col("node").alias("class_id"))
