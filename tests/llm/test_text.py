@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm.chat import escape, format_turns, json_fingerprint, json_turns, layout_name, read_turns, rows_to_turns, unescape, chat_report
-from tidemark.llm.licenses import BASE, COVER, TEMPLATES, scan_licenses
+from tidemark.llm.licenses import BASE, COVER, TEMPLATES, VOCABULARY, scan_licenses
 from tidemark.llm.lines import line_dedup
 from tidemark.llm.quality import quality_rules
 
@@ -84,6 +84,15 @@ def test_licenses(docs):
     assert len(rows) == len(TEXTS)
 
 
+def test_licenses_all_in_one(spark):
+    """A document of all notices and all licence words has all labels, also among documents that make words common."""
+    both = " x ".join(t.text for t in TEMPLATES) + " " + " ".join(VOCABULARY)
+    rows = [(1, both), (2, "use free copy public source terms person 0 2 " * 5 + both)] + [(i, "licensed license affero mozilla released mit cc lesser gnu") for i in range(3, 9)]
+    got = {r.doc_id: r.labels for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    expected = ",".join(sorted({t.label for t in TEMPLATES} | {"gpl", "cc-by"}))
+    assert got[1] == got[2] == expected and got[3] == ""
+
+
 def test_chat_layouts(spark):
     cases = {
         '{"prompt":"a","response":"b"}': ("prompt_response", [("user", "a"), ("assistant", "b")]),
