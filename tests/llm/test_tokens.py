@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import mixing
+from tidemark.llm import ann, mixing
 from tidemark.llm.ann import build, lengthened, nearest, search
 from tidemark.llm.packing import CAPACITY, cuts, packed
 from tidemark.llm.queries import tokenizer_path
@@ -124,6 +124,27 @@ def test_graph_recall():
     assert np.mean([len(set(a[:20]) & set(b)) / 20 for a, b in zip(found, truth, strict=True)]) > 0.9
 
 
+@pytest.mark.parametrize("kind", ["outlier", "clusters", "unequal"])
+def test_nearest_recall(spark, monkeypatch, kind):
+    """Through nearest(), in several shards, also with a vector 10^4 times longer than the others."""
+    monkeypatch.setattr(ann, "SHARD", 700)
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(2000, 32))
+    if kind == "clusters":
+        v += 3 * rng.normal(size=(20, 32))[rng.integers(0, 20, 2000)]
+    if kind == "unequal":
+        v *= np.exp(rng.normal(size=(2000, 1)))
+    else:
+        v[1501] *= 1e4
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    found = nearest(table).toPandas().groupby("query_id")["vec_id"].agg(set)
+    assert len(found) == 100
+    inner = v @ v.T
+    np.fill_diagonal(inner, -np.inf)
+    truth = np.argsort(-inner, axis=1)[:, :20]
+    assert np.mean([len(own & set(truth[i])) / 20 for i, own in found.items()]) > 0.9
+
+
 def test_neighbours(spark):
     rows = [(i, [1.0, 2.0]) for i in range(45)] + [(100, [float("nan"), 1.0]), (120, [0.0, 0.0]), (140, None), (160, [1.0, None]), (180, [5.0]), (None, [1.0, 1.0]), (200, [3.0, 1.0]), (200, [3.0, 1.0]), (220, [])]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")

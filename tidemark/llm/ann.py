@@ -28,20 +28,37 @@ from tidemark.llm._shared import ship, small, written
 QUERY_EVERY, NEAREST = 20, 20
 #: Distinct vectors in a shard and queries in a block, at most about so many.
 SHARD, BLOCK = 8192, 4096
-DEGREE, BEAM, ALPHA, EXPAND = 32, 80, 1.2, 4
+#: Beams: of a query, and of a point that is inserted.
+DEGREE, BEAM, BUILD_BEAM, ALPHA, EXPAND = 32, 320, 96, 1.2, 4
+#: A shard's longest vectors, which every query tries beside its beam.
+LONGEST = 512
 #: Points linked exhaustively before insertion begins.
 SEED_POINTS = 256
 
 
-def search(points: np.ndarray, graph: np.ndarray, entry: int, queries: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-    """For each query the beam's point numbers (-1: none) and inner products, best first."""
+def nearness(points: np.ndarray, at: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Less the squared distances of lengthened points, given by numbers that broadcast. The last coordinate's
+    difference comes from the lengths: next to a long vector the coordinates themselves are alike."""
+    v, far = points[:, :-1], points[:, -1]
+    length2 = np.einsum("ij,ij->i", v, v)
+    inner = np.einsum("...j,...j->...", v[at], v[to])
+    return -(length2[at] + length2[to] - 2 * inner + risen(length2[at] - length2[to], far[at] + far[to]))
+
+
+def risen(gap: np.ndarray, total: np.ndarray) -> np.ndarray:
+    return np.divide(gap, total, out=np.zeros(np.broadcast(gap, total).shape), where=total > 0) ** 2
+
+
+def search(points: np.ndarray, graph: np.ndarray, entry: int, queries: np.ndarray, beam: int = BEAM, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For each query the beam's point numbers (-1: none) and inner products, best first; with own, the
+    queries are these points and nearness takes the products' place."""
     n, q = len(points), len(queries)
     ids = np.full((q, beam), -1, np.int64)
-    score = np.full((q, beam), -np.inf, np.float32)
+    score = np.full((q, beam), -np.inf)
     done = np.ones((q, beam), bool)
     seen = np.zeros((q, n + 1), bool)
     seen[:, n] = True  # where -1 points
-    ids[:, 0], score[:, 0], done[:, 0], seen[:, entry] = entry, queries @ points[entry], False, True
+    ids[:, 0], score[:, 0], done[:, 0], seen[:, entry] = entry, queries @ points[entry] if own is None else nearness(points, own, np.full(q, entry)), False, True
     live = np.arange(q)
     while len(live):
         own_ids, own_score, own_done = ids[live], score[live], done[live]
@@ -55,8 +72,8 @@ def search(points: np.ndarray, graph: np.ndarray, entry: int, queries: np.ndarra
         near[seen[live[:, None], near]] = -1
         seen[live[:, None], near] = True
         at, slot = np.nonzero(near >= 0)
-        fresh = np.full(near.shape, -np.inf, np.float32)
-        fresh[at, slot] = np.einsum("ij,ij->i", points[near[at, slot]], queries[live[at]])
+        fresh = np.full(near.shape, -np.inf)
+        fresh[at, slot] = np.einsum("ij,ij->i", points[near[at, slot]], queries[live[at]]) if own is None else nearness(points, own[live[at]], near[at, slot])
         all_ids, all_score = np.hstack([own_ids, near]), np.hstack([own_score, fresh])
         all_done = np.hstack([own_done, near < 0])
         best = np.argsort(-all_score, axis=1, kind="stable")[:, :beam]
@@ -66,7 +83,7 @@ def search(points: np.ndarray, graph: np.ndarray, entry: int, queries: np.ndarra
     return ids, score
 
 
-def prune(points: np.ndarray, own: np.ndarray, cand: np.ndarray, score: np.ndarray, length2: float, alpha: float) -> np.ndarray:
+def prune(points: np.ndarray, own: np.ndarray, cand: np.ndarray, score: np.ndarray, alpha: float) -> np.ndarray:
     """Robust pruning: for each own point at most DEGREE of its candidates (-1: none), nearest first."""
     out = np.full((len(own), DEGREE), -1, np.int32)
     for lo in range(0, len(own), 256):
@@ -75,9 +92,11 @@ def prune(points: np.ndarray, own: np.ndarray, cand: np.ndarray, score: np.ndarr
         order = np.argsort(-s, axis=1, kind="stable")
         c, s = np.take_along_axis(c, order, 1), np.take_along_axis(s, order, 1)
         alive = np.isfinite(s)
-        v = points[c]
-        between = np.maximum(2 * length2 - 2 * (v @ v.transpose(0, 2, 1)), 0)
-        far = np.maximum(2 * length2 - 2 * np.where(alive, s, 0), 0)
+        v, last = points[c][:, :, :-1], points[c][:, :, -1]
+        length2 = np.einsum("ijk,ijk->ij", v, v)
+        between = length2[:, :, None] + length2[:, None] - 2 * (v @ v.transpose(0, 2, 1))
+        between = np.maximum(between + risen(length2[:, :, None] - length2[:, None], last[:, :, None] + last[:, None]), 0)
+        far = np.maximum(-np.where(alive, s, 0), 0)
         rows = np.arange(len(c))
         for r in range(DEGREE):
             first = alive.argmax(axis=1)
@@ -87,13 +106,17 @@ def prune(points: np.ndarray, own: np.ndarray, cand: np.ndarray, score: np.ndarr
             out[lo + rows[has], r] = c[rows[has], first[has]]
             alive &= ~(has[:, None] & (alpha * alpha * between[rows, first] <= far))
             alive[rows, first] = False
+        # places left go to the nearest that were dropped: among vectors of unequal length few are kept otherwise
+        for i, (o, k) in enumerate(zip(out[lo : lo + 256], c, strict=True)):
+            free = np.flatnonzero(o < 0)
+            more = k[np.isfinite(s[i]) & ~np.isin(k, o)][: len(free)]
+            o[free[: len(more)]] = more
     return out
 
 
 def build(points: np.ndarray, seed: int = 7, alpha: float = ALPHA) -> tuple[np.ndarray, int]:
     """The graph (n, DEGREE) of points that are equally long, and its entry."""
     n = len(points)
-    length2 = float((points[:1] ** 2).sum()) if n else 0.0
     graph = np.full((n, DEGREE), -1, np.int32)
     entry = int((points @ points.mean(axis=0)).argmax()) if n else 0
     order = np.random.default_rng(seed).permutation(n)
@@ -101,24 +124,24 @@ def build(points: np.ndarray, seed: int = 7, alpha: float = ALPHA) -> tuple[np.n
     at = min(n, SEED_POINTS)
     first = order[:at]
     if at > 1:
-        inner = points[first] @ points[first].T
-        near = np.argsort(-inner, axis=1, kind="stable")[:, : 3 * DEGREE]
-        graph[first] = prune(points, first, first[near], np.take_along_axis(inner, near, 1), length2, alpha)
+        score = nearness(points, first[:, None], first[None])
+        near = np.argsort(-score, axis=1, kind="stable")[:, : 3 * DEGREE]
+        graph[first] = prune(points, first, first[near], np.take_along_axis(score, near, 1), alpha)
     while at < n:
         batch = order[at : at + min(1024, at)]
-        cand, score = search(points, graph, entry, points[batch], BEAM)
-        graph[batch] = prune(points, batch, cand, score, length2, alpha)
-        link_back(points, graph, batch, length2, alpha)
+        cand, score = search(points, graph, entry, points[batch], BUILD_BEAM, batch)
+        graph[batch] = prune(points, batch, cand, score, alpha)
+        link_back(points, graph, batch, alpha)
         at += len(batch)
     return graph, entry
 
 
-def link_back(points: np.ndarray, graph: np.ndarray, batch: np.ndarray, length2: float, alpha: float) -> None:
+def link_back(points: np.ndarray, graph: np.ndarray, batch: np.ndarray, alpha: float) -> None:
     """Adds the edges to batch's points from those that they point to."""
     source = np.repeat(batch, DEGREE)
     target = graph[batch].reshape(-1).astype(np.int64)
     source, target = source[target >= 0], target[target >= 0]
-    score = np.einsum("ij,ij->i", points[source], points[target])
+    score = nearness(points, source, target)
     order = np.lexsort((-score, target))
     source, target = source[order], target[order]
     lead = np.flatnonzero(np.r_[True, target[1:] != target[:-1]]) if len(target) else np.zeros(0, int)
@@ -138,15 +161,15 @@ def link_back(points: np.ndarray, graph: np.ndarray, batch: np.ndarray, length2:
     full = np.flatnonzero(~few)
     for lo in range(0, len(full), 1024):
         part = full[lo : lo + 1024]
-        inner = np.einsum("ijk,ik->ij", points[both[part]], points[own[part]])
-        graph[own[part]] = prune(points, own[part], both[part], inner.astype(np.float32), length2, alpha)
+        score = nearness(points, both[part], own[part][:, None])
+        graph[own[part]] = prune(points, own[part], both[part], score, alpha)
 
 
 def lengthened(vectors: np.ndarray) -> np.ndarray:
-    """Vectors as float32, scaled, with a coordinate that makes all equally long."""
+    """Vectors, scaled, with a coordinate that makes all equally long."""
     norm2 = (vectors**2).sum(axis=1)
     top = float(norm2.max()) or 1.0
-    return np.hstack([vectors, np.sqrt(np.maximum(top - norm2, 0))[:, None]]).astype(np.float32) / np.float32(np.sqrt(top))
+    return np.hstack([vectors, np.sqrt(np.maximum(top - norm2, 0))[:, None]]) / np.sqrt(top)
 
 
 def exact(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -204,11 +227,13 @@ def _search_shard(index: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
     sizes, ids = np.frombuffer(x["sizes"], np.int32), np.frombuffer(x["ids"], np.int64)
     starts = np.cumsum(sizes) - sizes
     points = lengthened(vectors)
+    long = np.argsort(points[:, -1], kind="stable")[:LONGEST]  # the least is added to the longest
     out = []
     for lo in range(0, len(asked), 512):
         part = asked.iloc[lo : lo + 512]
         q = np.stack([np.frombuffer(v) for v in part["vec"]])
-        found, _ = search(points, graph, int(x["entry"]), np.hstack([q, np.zeros((len(q), 1))]).astype(np.float32))
+        found, _ = search(points, graph, int(x["entry"]), np.hstack([q, np.zeros((len(q), 1))]))
+        found = np.hstack([np.where(np.isin(found, long), -1, found), np.tile(long, (len(q), 1))])
         score = exact(q, vectors, found)
         at, slot = np.nonzero(found >= 0)
         node = found[at, slot]
