@@ -55,10 +55,10 @@ def pieces_of(docs: DataFrame, tokenizer: str) -> DataFrame:
         for batch in batches:
             for part in parts(batch, "text"):
                 rows = []
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), encode(part.column("text").to_pylist()), strict=True):
-                    at, total, view = 0, len(ids) // 4, memoryview(ids)
-                    for n in cuts(total):
-                        rows.append((doc_id, at, n, zlib.crc32(view[4 * at : 4 * (at + n)]), total))
+                for doc_id, ids in zip(part.column("doc_id").to_pylist(), encode(part.column("text")), strict=True):
+                    at = 0
+                    for n in cuts(len(ids)):
+                        rows.append((doc_id, at, n, zlib.crc32(ids[at : at + n]), len(ids)))
                         at += n
                 columns = list(zip(*rows, strict=True)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])

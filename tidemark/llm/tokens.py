@@ -1,9 +1,11 @@
 """Token ids of documents, and a binary file format for them.
 
 Ids: the tokenizer drops white space and never joins text across it, so a text's ids are those
-of its white-space-separated chunks one after another; each worker keeps the ids of chunks it has
-seen. Chunks of ASCII and Latin-1 letters are split here and given to the library's model piece
-by piece; all others go through its whole tokenizer. Special-token strings inside a text are what the tokenizers library makes of them.
+of its white-space-separated chunks one after another. A part of a batch is split and its distinct chunks
+found by Arrow; the ids of new ones come from the tokenizers library, and each worker keeps a bounded number of them. Chunks of
+ASCII and Latin-1 letters are split into pieces first, and distinct pieces given to the library's
+model; all others go through its whole tokenizer, as do whole texts with a tokenizer of other steps. Special-token strings inside a
+text are what the library makes of them.
 
 Format: a dataset of packs in ascending doc_id order. A pack is one self-contained byte string
 (little-endian):
@@ -13,8 +15,8 @@ A frame is one document's ids (u32) compressed by itself with the shared zstanda
 a short document is read without its neighbours. Beside the packs lie the dictionary and an index of
 each pack's place in the whole stream of ids.
 
-The dictionary is trained on a bounded sample of documents (TRAIN_DOCS by hashed id, of at most
-TRAIN_IDS ids each); a table too small to train on goes without. Null and empty texts have only
+The dictionary is trained on a bounded sample of documents (TRAIN_DOCS by their hash, of at most
+4 * TRAIN_IDS characters, TRAIN_IDS ids each); a sample of under TRAIN_LEAST documents or bytes each is the dictionary itself. Null and empty texts have only
 the end id. Rows with one doc_id stand in the order of their contents. A null doc_id comes first.
 Columns other than doc_id and text are not read.
 """
@@ -22,10 +24,12 @@ Columns other than doc_id and text are not read.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,18 +40,34 @@ from tidemark.llm._shared import new_path, ship, small, text_of, written
 
 END_ID = 2
 MAGIC, VERSION = b"TIDEPACK", 1
-TRAIN_DOCS, TRAIN_IDS, DICT_BYTES = 2000, 1 << 14, 1 << 16
+TRAIN_DOCS, TRAIN_IDS, DICT_BYTES = 2000, 1 << 12, 1 << 16
+#: Samples, and as many bytes each, below which nothing is trained.
+TRAIN_LEAST = 64
 #: A pack is closed when its frames reach so many bytes.
 PACK_BYTES = 1 << 20
 LEVEL = 3
-#: Chunks whose ids a worker keeps, and chunks given to the tokenizer at once.
-KEEP, AT_ONCE = 500_000, 2048
-
+#: Pieces, and chunks of other letters, whose ids a worker keeps: about 50 MB of pieces. Pieces given to the library in one string.
+KEEP, AT_ONCE = 1 << 18, 100
+#: Bytes of texts encoded at once.
+PART_BYTES = 4 << 20
 
 #: Chunks that the tokenizer's own steps (compose, lower-case, split, bytes as characters) leave simple: ASCII and the
 #: letters of Latin-1, whose composed forms and lower case are their own. Others go through the whole tokenizer.
-PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
-PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+PLAIN = "^[!-~À-ÖØ-öø-ÿ]*$"
+#: The tokenizer's split on such chunks in lower case.
+PIECE = "('s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+)"
+#: The steps of a tokenizer file for which the above holds, fixed values. With any other file, texts are given whole to the library.
+KNOWN = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+WORD_END = "</w>"
 
 
 def byte_characters() -> dict[int, str]:
@@ -57,68 +77,139 @@ def byte_characters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
+def gathered(pool: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The stretches of pool that begin at starts, one after another."""
+    ends = np.cumsum(counts)
+    total = int(ends[-1]) if len(ends) else 0
+    return pool[np.repeat(starts - (ends - counts), counts) + np.arange(total)]
+
+
+class Store:
+    """Ids by string. Entry 0, of the empty string, has none."""
+
+    def __init__(self):
+        self.entry: dict[str, int] = {"": 0}
+        self.starts, self.counts = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.pool = np.zeros(0, np.uint32)
+
+    def shrink(self, strings: list[str]) -> None:
+        """Keeps these strings only, and the empty one."""
+        strings = ["", *(s for s in strings if s)]
+        kept = np.array([self.entry[s] for s in strings])
+        self.pool, self.counts = self.ids(kept)
+        self.starts = np.cumsum(self.counts) - self.counts
+        self.entry = dict(zip(strings, range(len(strings)), strict=True))
+
+    def entries(self, strings: list[str], learn) -> np.ndarray:
+        """Entries of different strings; learn(new strings) gives the ids of those not held, flat, and their counts."""
+        look = lambda: np.fromiter(map(self.entry.get, strings, repeat(-1)), np.int64, len(strings))
+        found = look()
+        missing = np.flatnonzero(found < 0)
+        if len(missing):
+            if len(self.entry) + len(missing) > KEEP:
+                self.shrink([strings[i] for i in np.flatnonzero(found >= 0).tolist()])
+                found = look()
+            new = [strings[i] for i in missing.tolist()]
+            flat, counts = learn(new)
+            found[missing] = np.arange(len(self.starts), len(self.starts) + len(new))
+            self.entry.update(zip(new, found[missing].tolist(), strict=True))
+            self.starts = np.r_[self.starts, len(self.pool) + np.cumsum(counts) - counts]
+            self.counts = np.r_[self.counts, counts]
+            self.pool = np.r_[self.pool, flat]
+        return found
+
+    def ids(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of entries, flat, and their counts."""
+        counts = self.counts[entries]
+        return gathered(self.pool, self.starts[entries], counts), counts
+
+
 class ChunkEncoder:
-    """Ids of whole texts as little-endian u32 bytes, the end id included."""
+    """Ids of whole texts, the end id included."""
 
     def __init__(self, path: str, end_id: int | None = END_ID):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.end = b"" if end_id is None else struct.pack("<I", end_id)
-        self.seen: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        model = told["model"]
+        self.known = all(told[k] == v for k, v in KNOWN.items()) and model["type"] == "BPE" and model["end_of_word_suffix"] == WORD_END and not model["dropout"]
+        self.end = end_id
+        self.special = "|".join(re.escape(t["content"]) for t in told["added_tokens"])
+        if not self.known:
+            return
+        # the file's model alone, for pieces that are split and written as byte characters already
+        self.words = Tokenizer.from_file(path)
+        self.words.normalizer, self.words.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
+        self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends_word[[i for t, i in self.tokenizer.get_vocab(False).items() if t.endswith(WORD_END)]] = True
         characters = byte_characters()
         self.letters = {ord(c): "".join(characters[b] for b in c.encode()) for c in map(chr, range(0xC0, 0x100))}
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-
-    def piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
-        if found is None:
-            if len(self.pieces) > KEEP:
-                self.pieces.clear()
-            ids = [t.id for t in self.model.tokenize(piece if piece.isascii() else piece.translate(self.letters))]
-            found = self.pieces[piece] = struct.pack(f"<{len(ids)}I", *ids)
-        return found
-
-    def learn(self, chunks: set[str]) -> None:
-        """Ids of new chunks, from the generation before where it has them."""
-        if len(self.seen) > KEEP:
-            self.before, self.seen = self.seen, {}
-        rest = []
-        for chunk in chunks:
-            if chunk in self.before:
-                self.seen[chunk] = self.before[chunk]
-            elif PLAIN.fullmatch(chunk) and not any(t in chunk for t in self.special):
-                self.seen[chunk] = b"".join(map(self.piece, PIECES.findall(chunk.lower())))
-            else:
-                rest.append(chunk)
-        for at in range(0, len(rest), AT_ONCE):
-            part = rest[at : at + AT_ONCE]
-            for chunk, found in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                self.seen[chunk] = np.array(found.ids, "<u4").tobytes()
-
-    def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
-        at = 0
-        while at < len(texts):
-            group, size = [], 0
-            while at < len(texts) and (not group or size < 1 << 20):
-                text = texts[at] or ""
-                size += len(text)
+        self.pieces, self.others = Store(), Store()
+
+    def piece_ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        written = [p if p.isascii() else p.translate(self.letters) for p in pieces]
+        found = self.words.encode_batch_fast([" ".join(written[i : i + AT_ONCE]) for i in range(0, len(written), AT_ONCE)], add_special_tokens=False)
+        flat = np.concatenate([np.array(x.ids, np.uint32) for x in found])
+        ends = np.flatnonzero(self.ends_word[flat]) + 1
+        if len(ends) != len(pieces):
+            raise ValueError("the tokenizer's model doesn't end each word with a word's end")
+        return flat, np.diff(ends, prepend=0)
+
+    def whole_ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, np.uint32), *found]), np.array([len(x) for x in found], np.int64)
+
+    def plain_ids(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        import pyarrow.compute as pc
+
+        split = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(chunks), PIECE, r"\1 "))
+        coded = split.flatten().dictionary_encode()
+        entries = self.pieces.entries(coded.dictionary.to_pylist(), self.piece_ids)
+        flat, counts = self.pieces.ids(entries[coded.indices.to_numpy()])
+        ends = np.r_[0, np.cumsum(counts)][np.cumsum(split.value_lengths().to_numpy())]
+        return flat, np.diff(ends, prepend=0)
+
+    def chunk_ids(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of different chunks, flat, and their counts."""
+        import pyarrow.compute as pc
+
+        plain = pc.match_substring_regex(chunks, PLAIN).to_numpy(zero_copy_only=False)
+        if self.special:
+            plain = plain & ~pc.match_substring_regex(chunks, self.special).to_numpy(zero_copy_only=False)
+        if plain.all():
+            return self.plain_ids(chunks)
+        one, n_one = self.plain_ids(chunks.filter(pa.array(plain)))
+        two, n_two = self.others.ids(self.others.entries(chunks.filter(pa.array(~plain)).to_pylist(), self.whole_ids))
+        counts, starts = np.zeros((2, len(chunks)), np.int64)
+        counts[plain], counts[~plain] = n_one, n_two
+        starts[plain], starts[~plain] = np.cumsum(n_one) - n_one, len(one) + np.cumsum(n_two) - n_two
+        return gathered(np.concatenate([one, two]), starts, counts), counts
+
+    def __call__(self, texts: pa.Array | list[str | None]) -> Iterator[np.ndarray]:
+        """The ids (u32) of each text; a null text is empty."""
+        import pyarrow.compute as pc
+
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        for part in slices(texts, PART_BYTES):
+            if self.known:
                 # only ASCII white space splits: any other is the tokenizer's business
-                for c in "\t\n\x0b\x0c\r":
-                    text = text.replace(c, " ")
-                group.append(text.split(" "))
-                at += 1
-            every = set().union(*group)
-            new = every.difference(self.seen)
-            if new:
-                self.learn(new)
-                if len(self.seen) < len(every):  # a new generation: what this group needs comes along
-                    self.learn(every.difference(self.seen))
-            for chunks in group:
-                yield b"".join(map(self.seen.__getitem__, chunks)) + self.end
+                split = pc.ascii_split_whitespace(part)
+                coded = split.flatten().dictionary_encode()
+                flat, counts = self.chunk_ids(coded.dictionary)
+                codes = coded.indices.to_numpy()
+                flat, counts = gathered(flat, (np.cumsum(counts) - counts)[codes], counts[codes]), counts[codes]
+                ends = np.r_[0, np.cumsum(counts)][np.cumsum(split.value_lengths().to_numpy())]
+            else:
+                flat, counts = self.whole_ids(part.to_pylist())
+                ends = np.cumsum(counts)
+            if self.end is not None:
+                flat, ends = np.insert(flat, ends, self.end), ends + np.arange(1, len(ends) + 1)
+            flat, at = flat.astype("<u4", copy=False), 0
+            for to in ends.tolist():
+                yield flat[at:to]
+                at = to
 
 
 _encoders: dict[tuple, ChunkEncoder] = {}
@@ -131,29 +222,50 @@ def encoder(path: str, end_id: int | None = END_ID) -> ChunkEncoder:
     return _encoders[path, end_id]
 
 
-def parts(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch of about most bytes of a text column."""
+def slices(texts: pa.Array, most: int) -> Iterator[pa.Array]:
+    """Slices of an array of texts of about most bytes."""
     import pyarrow.compute as pc
 
-    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
     at = 0
-    while at < batch.num_rows:
+    while at < len(texts):
         to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
-        yield batch.slice(at, to - at)
+        yield texts.slice(at, to - at)
         at = to
 
 
-def train_dictionary(docs: DataFrame, tokenizer: str) -> bytes:
+def parts(batch: pa.RecordBatch, column: str, most: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of about most bytes of a text column."""
+    at = 0
+    for part in slices(batch.column(column), most):
+        yield batch.slice(at, len(part))
+        at += len(part)
+
+
+def dictionary_of(samples: list[bytes]) -> bytes:
+    """A dictionary trained on samples; of very few or very small ones, themselves one after another."""
     import zstandard
 
-    sample = docs.select("doc_id", text_of().alias("text")).where(F.length("text") <= 4 * TRAIN_IDS)
-    rows = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS).collect()
-    encode = ChunkEncoder(tokenizer)
-    samples = [x[: 4 * TRAIN_IDS] for x in encode([r["text"] for r in rows])]
-    try:
-        return zstandard.train_dictionary(DICT_BYTES, samples).as_bytes()
-    except zstandard.ZstdError:
-        return b""
+    samples = sorted(set(samples))
+    if len(samples) < TRAIN_LEAST or sum(map(len, samples)) < TRAIN_LEAST * TRAIN_LEAST:
+        return b"".join(samples)[:DICT_BYTES]
+    return zstandard.train_dictionary(DICT_BYTES, samples).as_bytes()
+
+
+def train_dictionary(docs: DataFrame, tokenizer: str) -> bytes:
+    """The dictionary of TRAIN_DOCS texts chosen by hash. Only hashes are ordered; the texts chosen
+    are encoded, and the dictionary trained, in one task."""
+    short = docs.select(F.xxhash64("doc_id", "text").alias("h"), "text").where(F.length(text_of()) <= 4 * TRAIN_IDS)
+    chosen = F.broadcast(short.select("h").distinct().orderBy("h").limit(TRAIN_DOCS))
+
+    def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = ChunkEncoder(tokenizer)
+        samples = [ids[:TRAIN_IDS].tobytes() for batch in batches for ids in encode(batch.column("text"))]
+        yield pa.RecordBatch.from_arrays([pa.array([dictionary_of(samples)], pa.binary())], ["dictionary"])
+
+    texts = short.join(chosen, "h", "left_semi").dropDuplicates(["h"]).select("text").repartition(1)
+    made = texts.mapInArrow(trained, "dictionary binary").collect()
+    return bytes(made[0]["dictionary"]) if made else b""
 
 
 def _compressor(dictionary: bytes):
@@ -217,8 +329,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str) -> None:
         for batch in batches:
             for part in parts(batch, "text"):
                 sizes, frames = [], []
-                for ids in encode(part.column("text").to_pylist()):
-                    sizes.append(len(ids) // 4)
+                for ids in encode(part.column("text")):
+                    sizes.append(len(ids))
                     frames.append(press.compress(ids))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(frames, pa.binary())], ["doc_id", "n", "frame"])
 
