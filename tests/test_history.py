@@ -137,3 +137,29 @@ def test_aggregates_by_other_ways(spark, data):
         if m in points:
             (row,) = rows_of(aggregate_from_levels(raw, levels, CONFIG, m, start, end))
             assert row[1] == pytest.approx(model.aggregate(points[m], start, end)), (m, start, end)
+
+
+def test_many_stretches_and_cells(spark, data, monkeypatch):
+    """The same with stretches of a few rows and cells of three: carries between stretches, totals of several sizes."""
+    from tidemark.operators import samples
+    from tidemark.plans import history as h
+
+    points, raw, _ = data
+    small = lambda df, column, rows=16: STRETCHES(df, column, min(rows, 16))
+    STRETCHES = samples.stretches
+    for module in (samples, h):
+        monkeypatch.setattr(module, "stretches", small)
+    monkeypatch.setattr(h, "CELL_ROWS", 3)
+    monkeypatch.setattr(h, "STEP", 4)
+    monkeypatch.setattr(samples, "QUANTILES", 8)
+    rows = [(m, i, t, v) for m, s in (("a", 1), ("b", 2)) for i, (t, v) in enumerate(series(s))]
+    got = accept(spark.createDataFrame(rows, "metric string, arrival long, time long, value double"))
+    for m in "ab":
+        assert sorted((r.time, r.value) for r in got.where(F.col("metric") == m).collect()) == points[m]
+    levels = {}
+    for r in expand(hierarchy(raw, CONFIG)).collect():
+        levels.setdefault((r.metric, r.level), {})[r.time] = tuple(r[c] for c in FIELDS)
+    for m, p in points.items():
+        for level in CONFIG.levels():
+            close(sorted(levels.get((m, level), {}).items()), sorted(model.level_rows(p, level).items()))
+    test_aggregates_by_other_ways(spark, data)

@@ -59,6 +59,11 @@ def config_frame(spark: SparkSession, configs: dict[str, SeriesConfig]) -> DataF
     return spark.createDataFrame(rows, "metric string, input string, interval_min long, interval_max long, interval_factor long")
 
 
+def level_frame(spark: SparkSession, configs: dict[str, SeriesConfig]) -> DataFrame:
+    """(metric, levels)."""
+    return spark.createDataFrame([(m, c.levels()) for m, c in configs.items()], "metric string, levels array<long>")
+
+
 def read_configs(spark: SparkSession, path: str) -> dict[str, SeriesConfig]:
     """Settings of a JSON document {"metrics": {name: {"input": ..., "interval_min": ...}}}; unknown keys are errors."""
     import json

@@ -11,22 +11,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.algebra import FIELDS, added, held, is_decimal, times
-from tidemark.operators.config import SeriesConfig
-from tidemark.operators.samples import segments
+from tidemark.operators.config import SeriesConfig, level_frame
+from tidemark.operators.samples import Stretches, numbered, segments, stretches
 
 COLUMNS = ("metric", "level", "time", "repeat", *FIELDS)
 
 
-def level_rows(raw: DataFrame, levels: list[int], width: tuple[int, int] | None = None) -> DataFrame:
-    """Rows (COLUMNS) of levels straight from raw (metric, time, value): one pass over the samples and one exchange, in
-    which coarse levels are nearly free, as each task adds their parts up before."""
-    decimal = is_decimal(raw)
-    last = raw.groupBy("metric").agg(F.max("time").alias("__last"))
+def segment_parts(seg: DataFrame, decimal: bool) -> DataFrame:
+    """Rows (metric, level, b, repeat, FIELDS) of segments (metric, prev, time, value, levels): what each adds to the intervals that
+    it meets, at most three rows for each level. Products stay within the segment, so none overflows."""
     one, lv = F.lit(1).cast("long"), F.col("level")
-    seg = segments(raw, width).withColumn("level", F.explode(F.array(*(F.lit(x).cast("long") for x in levels))))
+    seg = seg.withColumn("level", F.explode("levels"))
     seg = seg.withColumns({"b0": F.expr("prev div level"), "b1": F.expr("time div level")})
     part = lambda at, duration, n, repeat: F.struct(at.alias("b"), duration.alias("d"), F.lit(n).cast("long").alias("n"), repeat.alias("repeat"))
-    # the three parts of a segment: up to the end of its first interval, whole intervals, from the start of its last
+    # up to the end of its first interval, whole intervals, from the start of its last
     single = F.array(part(F.col("b1"), F.col("time") - F.col("prev"), 1, one))
     head = part(F.col("b0"), (F.col("b0") + 1) * lv - F.col("prev"), 0, one)
     run = part(F.col("b0") + 1, lv, 0, F.col("b1") - F.col("b0") - 1)
@@ -34,16 +32,46 @@ def level_rows(raw: DataFrame, levels: list[int], width: tuple[int, int] | None
     parts = F.when(F.col("b0") == F.col("b1"), single).otherwise(F.filter(F.array(head, run, tail), lambda p: p["repeat"] > 0))
     rows = seg.select("metric", "level", "value", F.explode(parts).alias("p")).select("metric", "level", "value", "p.*")
     fields = held(F.col("value"), F.col("d"), F.col("n"), decimal)
-    flat = rows.select("metric", "level", "b", "repeat", *(c.alias(k) for k, c in fields.items()))
-    # a run is whole intervals with this one part each; all other parts meet in their interval
-    mixed = flat.where("repeat = 1").groupBy("metric", "level", "b").agg(*added()).withColumn("repeat", one)
-    runs = flat.where("repeat > 1").unionByName(mixed).join(last, "metric")
-    runs = runs.where((F.col("b") + F.col("repeat")) * lv <= F.col("__last"))
-    return runs.select("metric", "level", (F.col("b") * lv).alias("time"), "repeat", *FIELDS)
+    return rows.select("metric", "level", "b", "repeat", *(c.alias(k) for k, c in fields.items()))
+
+
+def met(flat: DataFrame) -> DataFrame:
+    """The parts of each interval added up. A run is whole intervals with this one part each; all other parts
+    meet in their interval, added up in each task before they move."""
+    mixed = flat.where("repeat = 1").groupBy("metric", "level", "b").agg(*added()).withColumn("repeat", F.lit(1).cast("long"))
+    return flat.where("repeat > 1").unionByName(mixed)
+
+
+#: Whether an interval, or run, ends by the metric's last sample.
+COMPLETE = "b + repeat <= __last div level"
 
 
-def base_level(raw: DataFrame, level: int, width: tuple[int, int] | None = None) -> DataFrame:
-    return level_rows(raw, [level], width)
+def level_rows(raw: DataFrame, levels: list[int] | DataFrame, cuts: Stretches | None = None) -> DataFrame:
+    """Rows (COLUMNS) of levels straight from raw (metric, time, value): one pass over the samples and one exchange, in
+    which coarse levels are nearly free. levels: of all metrics, or a frame (metric, levels)."""
+    last = raw.groupBy("metric").agg(F.max("time").alias("__last"))
+    seg = segments(raw, cuts)
+    seg = seg.join(levels, "metric") if isinstance(levels, DataFrame) else seg.withColumn("levels", F.array(*(F.lit(x).cast("long") for x in levels)))
+    runs = met(segment_parts(seg, is_decimal(raw))).join(last, "metric").where(COMPLETE)
+    return runs.select("metric", "level", (F.col("b") * F.col("level")).alias("time"), "repeat", *FIELDS)
+
+
+def advanced(new: DataFrame, levels: DataFrame, state: DataFrame) -> DataFrame:
+    """What new accepted samples (metric, time, value) add to a hierarchy: rows (COLUMNS, open, last). state and the open rows are
+    each metric's and level's open interval so far, with the metric's last time; the other rows are the
+    intervals now complete. Nothing older is read. levels: (metric, levels)."""
+    was = state.groupBy("metric").agg(F.max("last").alias("__was"))
+    now = new.groupBy("metric").agg(F.max("time").alias("__now"))
+    seg = segments(new).join(was, "metric", "left").withColumn("prev", F.when(F.col("prev") == F.col("time"), F.coalesce("__was", "time")).otherwise(F.col("prev")))
+    flat = segment_parts(seg.join(levels, "metric"), is_decimal(new))
+    held_open = state.select("metric", "level", F.expr("time div level").alias("b"), F.lit(1).cast("long").alias("repeat"), *FIELDS)
+    ends = now.join(was, "metric", "full").select("metric", F.coalesce("__now", "__was").alias("__last"))
+    rows = met(flat.unionByName(held_open)).join(ends, "metric")
+    return rows.select("metric", "level", (F.col("b") * F.col("level")).alias("time"), "repeat", *FIELDS, (~F.expr(COMPLETE)).alias("open"), F.col("__last").alias("last"))
+
+
+def base_level(raw: DataFrame, level: int, cuts: Stretches | None = None) -> DataFrame:
+    return level_rows(raw, [level], cuts)
 
 
 def next_level(rows: DataFrame, factor: int, last: DataFrame) -> DataFrame:
@@ -64,7 +92,7 @@ def next_level(rows: DataFrame, factor: int, last: DataFrame) -> DataFrame:
     flat = rows.select("metric", "up", "b", F.col("again").alias("repeat"), *FIELDS)
     mixed = flat.where("repeat = 1").groupBy("metric", "up", "b").agg(*added()).withColumn("repeat", one)
     runs = flat.where("repeat > 1").unionByName(mixed).join(last, "metric")
-    runs = runs.where((F.col("b") + F.col("repeat")) * F.col("up") <= F.col("last"))
+    runs = runs.where("b + repeat <= last div up")
     kinds = {c: rows.schema[c].dataType for c in ("sum", "integral")}
     return runs.select("metric", F.col("up").alias("level"), (F.col("b") * F.col("up")).alias("time"), "repeat", *(F.col(c).cast(kinds[c]) if c in kinds else F.col(c) for c in FIELDS))
 
@@ -85,17 +113,10 @@ def rolled_up(rows: DataFrame, config: SeriesConfig, last: DataFrame) -> DataFra
 
 
 def hierarchies(raw: DataFrame, configs: dict[str, SeriesConfig]) -> DataFrame:
-    """The same for metrics of several configs: one plan for each distinct set of intervals."""
-    groups: dict[SeriesConfig, list[str]] = {}
-    for metric, c in configs.items():
-        groups.setdefault(SeriesConfig(c.interval_min, c.interval_max, c.interval_factor), []).append(metric)
-    out = None
-    for config, names in groups.items():
-        rows = hierarchy(raw.where(F.col("metric").isin(names)), config)
-        out = rows if out is None else out.unionByName(rows)
-    if out is None:
+    """The same for metrics of several configs, in one plan; samples of other metrics are left out."""
+    if not configs:
         raise ValueError("no metric is configured")
-    return out
+    return level_rows(raw, level_frame(raw.sparkSession, configs))
 
 
 def expand(rows: DataFrame, start: Column | None = None, end: Column | None = None) -> DataFrame:
@@ -110,18 +131,8 @@ def expand(rows: DataFrame, start: Column | None = None, end: Column | None = No
 
 def block_summary(raw: DataFrame, size: int = 1024) -> DataFrame:
     """Zone aggregates: one row for each size consecutive samples of a metric, from the sample before the block on."""
-    decimal = is_decimal(raw)
-    from pyspark.sql import Window
-
-    from tidemark.operators.samples import stretch
-
-    origin, step = stretch(raw, "time")
-    rows = segments(raw, (origin, step)).withColumn("__c", F.floor((F.col("time") - origin) / step).cast("long"))
-    counts = rows.groupBy("metric", "__c").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("metric").orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("metric", "__c", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__first"))
-    rows = rows.withColumn("__i", F.row_number().over(Window.partitionBy("metric", "__c").orderBy("time")) - 1).join(counts, ["metric", "__c"])
-    rows = rows.withColumn("block", F.expr(f"(__i + __first) div {size}"))
-    fields = held(F.col("value"), F.col("time") - F.col("prev"), F.lit(1), decimal)
+    cuts = stretches(raw, "time")
+    rows = numbered(segments(raw, cuts), cuts).withColumn("block", F.expr(f"__i div {size}"))
+    fields = held(F.col("value"), F.col("time") - F.col("prev"), F.lit(1), is_decimal(raw))
     flat = rows.select("metric", "block", "time", "prev", *(c.alias(k) for k, c in fields.items()))
     return flat.groupBy("metric", "block").agg(F.min("prev").alias("since"), F.min("time").alias("first"), F.max("time").alias("last"), *added())

@@ -2,33 +2,73 @@
 
 One long metric may hold a third of all rows, so nothing here sorts a metric as a whole: rows are
 cut into stretches of arrival or time, each stretch is one window, and one row for each stretch
-carries over what the next needs.
+carries over what the next needs. Stretches follow the rows: quantiles of the column are cut evenly, into as many
+stretches as the counted rows ask for, so that bursts are spread too.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.algebra import finite
 
-#: Stretches into which the range of arrivals or times is cut.
-STRETCHES = 256
+#: Rows of a table in a stretch, about, and quantiles between which stretches are cut.
+STRETCH_ROWS, QUANTILES = 1 << 16, 64
+
+
+@dataclass(frozen=True)
+class Stretches:
+    """Ascending edges, each of which but the last begins `each` equally wide stretches."""
+
+    edges: tuple[int, ...]
+    each: int = 1
+
+    @property
+    def count(self) -> int:
+        return self.each * max(1, len(self.edges) - 1)
+
+    def of(self, column: Column) -> Column:
+        """The number of a value's stretch, from 0; values outside belong to the first or the last, null to none: -1."""
 
+        def within(i: int) -> Column:
+            lo, hi = self.edges[i], self.edges[min(i + 1, len(self.edges) - 1)]
+            if self.each == 1:
+                return F.lit(i).cast("long")
+            at = F.floor((F.greatest(F.least(column, F.lit(hi)), F.lit(lo)) - lo) / max(1, -(-(hi - lo + 1) // self.each)))
+            return F.least(at.cast("long"), F.lit(self.each - 1).cast("long")) + i * self.each
 
-def stretch(df: DataFrame, column: str, n: int = STRETCHES) -> tuple[int, int]:
-    """Origin and width that cut column's range into about n stretches; from file statistics where there are any."""
-    lo, hi = df.agg(F.min(column), F.max(column)).first()
-    return (0, 1) if lo is None else (lo, max(1, (hi - lo) // n + 1))
+        def between(i: int, j: int) -> Column:
+            if j - i <= 1:
+                return within(i)
+            middle = (i + j) // 2
+            return F.when(column < self.edges[middle], between(i, middle)).otherwise(between(middle, j))
 
+        return F.coalesce(F.when(column.isNotNull(), between(0, len(self.edges) - 1)), F.lit(-1).cast("long"))
 
-def accept(samples: DataFrame, last: DataFrame | None = None, width: tuple[int, int] | None = None) -> DataFrame:
+
+ONE = Stretches((0,))
+
+
+def stretches(df: DataFrame, column: str, rows: int = STRETCH_ROWS) -> Stretches:
+    """Stretches of about so many rows of df, by one pass over the column."""
+    shares = [k / QUANTILES for k in range(1, QUANTILES)]
+    n, lo, hi, inner = df.agg(F.count(column), F.min(column), F.max(column), F.percentile_approx(column, shares, 2000)).first()
+    if n <= rows:
+        return ONE
+    edges = tuple(sorted({lo, *inner, hi}))
+    return Stretches(edges, max(1, -(-n // (rows * max(1, len(edges) - 1)))))
+
+
+def accept(samples: DataFrame, last: DataFrame | None = None, cuts: Stretches | None = None) -> DataFrame:
     """Of samples (metric, arrival, time, value) those later than every one accepted before: finite values with
-    time above the greatest earlier finite time, above 0, and above last (metric, last) if given.
-    The first arrival wins; arrivals that tie count by time, then value."""
-    origin, step = width or stretch(samples, "arrival")
+    time above the greatest earlier finite time, above 0, and above last (metric, last) if given. The first
+    arrival wins; arrivals that tie count by time, then value; a null arrival is the first."""
+    cuts = cuts or stretches(samples, "arrival")
     counts = finite(F.col("value")) & F.col("time").isNotNull()
-    rows = samples.withColumn("__c", F.floor((F.col("arrival") - origin) / step).cast("long")).withColumn("__t", F.when(counts, F.col("time")))
+    rows = samples.withColumns({"__c": cuts.of(F.col("arrival")), "__t": F.when(counts, F.col("time"))})
     tops = rows.groupBy("metric", "__c").agg(F.max("__t").alias("__top"))
     earlier = Window.partitionBy("metric").orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)
     tops = tops.select("metric", "__c", F.max("__top").over(earlier).alias("__before"))
@@ -41,10 +81,10 @@ def accept(samples: DataFrame, last: DataFrame | None = None, width: tuple[int,
     return rows.where(counts & (F.col("time") > floor)).select(*samples.columns)
 
 
-def segments(raw: DataFrame, width: tuple[int, int] | None = None) -> DataFrame:
+def segments(raw: DataFrame, cuts: Stretches | None = None) -> DataFrame:
     """raw (metric, time, value) with prev, the metric's time before; the first sample's own time."""
-    origin, step = width or stretch(raw, "time")
-    rows = raw.withColumn("__c", F.floor((F.col("time") - origin) / step).cast("long"))
+    cuts = cuts or stretches(raw, "time")
+    rows = raw.withColumn("__c", cuts.of(F.col("time")))
     ends = rows.groupBy("metric", "__c").agg(F.max("time").alias("__end"))
     ends = ends.select("metric", "__c", F.lag("__end").over(Window.partitionBy("metric").orderBy("__c")).alias("__before"))
     inside = Window.partitionBy("metric", "__c").orderBy("time")
@@ -52,6 +92,18 @@ def segments(raw: DataFrame, width: tuple[int, int] | None = None) -> DataFrame:
     return rows.withColumn("prev", F.coalesce("prev", "__before", "time")).drop("__c", "__before")
 
 
+def numbered(raw: DataFrame, cuts: Stretches | None = None) -> DataFrame:
+    """raw with __i, the sample's number within its metric by time, from 0."""
+    cuts = cuts or stretches(raw, "time")
+    rows = raw.withColumn("__c", cuts.of(F.col("time")))
+    counts = rows.groupBy("metric", "__c").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("metric").orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("metric", "__c", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__first"))
+    own = F.row_number().over(Window.partitionBy("metric", "__c").orderBy("time")) - 1
+    rows = rows.withColumn("__own", own).join(counts, ["metric", "__c"])
+    return rows.withColumn("__i", F.col("__own") + F.col("__first")).drop("__c", "__own", "__first")
+
+
 def route(samples: DataFrame, configs: DataFrame) -> DataFrame:
     """samples (input, ...) with metric in place of input; inputs of no metric are an error."""
     known = configs.select("input", "metric")
@@ -76,30 +128,32 @@ def decode_chunks(chunks: DataFrame) -> DataFrame:
 def encode_chunks(points: DataFrame, size: int = 500) -> DataFrame:
     """Chunks (metric, chunk, time_delta, value) of at most size points each (metric, time, value); the first time
     of a chunk is absolute."""
-    origin, step = stretch(points, "time")
-    rows = points.withColumn("__c", F.floor((F.col("time") - origin) / step).cast("long"))
-    counts = rows.groupBy("metric", "__c").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("metric").orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("metric", "__c", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__first"))
-    inside = Window.partitionBy("metric", "__c").orderBy("time")
-    rows = rows.withColumn("__i", F.row_number().over(inside) - 1).join(counts, ["metric", "__c"])
-    rows = rows.withColumn("chunk", F.expr(f"(__i + __first) div {size}"))
+    rows = numbered(points).withColumn("chunk", F.expr(f"__i div {size}"))
     packed = rows.groupBy("metric", "chunk").agg(F.array_sort(F.collect_list(F.struct("time", "value"))).alias("p"))
     delta = F.transform("p", lambda x, i: x["time"] - F.when(i > 0, F.get(F.col("p"), i - 1)["time"]).otherwise(0))
     return packed.select("metric", "chunk", delta.alias("time_delta"), F.transform("p", lambda x: x["value"]).alias("value"))
 
 
+def nearest(samples: DataFrame, asked: DataFrame, forward: bool, cuts: Stretches) -> DataFrame:
+    """asked (metric, at, ...) with p, a struct of the columns of the metric's latest sample at or before at, or with forward the
+    earliest at or after it; null without one. Samples and places asked for are united and cut into
+    stretches; no place meets every sample."""
+    fields = F.struct("time", *[c for c in samples.columns if c not in ("metric", "time")])
+    others = [c for c in asked.columns if c not in ("metric", "at")]
+    place = F.struct(*(F.col(c) for c in others))
+    both = samples.select("metric", F.col("time").alias("at"), fields.alias("__s")).unionByName(asked.select("metric", "at", place.alias("__w")), allowMissingColumns=True)
+    rows = both.withColumns({"__c": cuts.of(F.col("at")), "__asked": F.col("__w").isNotNull()})
+    best, order = (F.min, F.desc) if forward else (F.max, F.asc)
+    tops = rows.groupBy("metric", "__c").agg(best("__s").alias("__top"))
+    around = Window.partitionBy("metric").orderBy(order("__c")).rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select("metric", "__c", best("__top").over(around).alias("__around"))
+    inside = Window.partitionBy("metric", "__c").orderBy(order("at"), "__asked").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("__own", best("__s").over(inside)).where("__asked").join(tops, ["metric", "__c"])
+    return rows.select("metric", "at", "__w.*", F.coalesce("__own", "__around").alias("p"))
+
+
 def predecessors(raw: DataFrame, windows: DataFrame) -> DataFrame:
-    """For windows (window_id, metric, start): the latest sample at or before start, null times without one.
-    Samples and starts are united and cut into stretches; no window meets every sample."""
-    both = raw.select("metric", F.col("time").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("window_id"), F.col("time").alias("t"), "value")
-    asked = windows.select("metric", F.col("start").alias("at"), F.lit(1).alias("kind"), "window_id", F.lit(None).cast("long").alias("t"), F.lit(None).cast(raw.schema["value"].dataType).alias("value"))
-    origin, step = stretch(raw, "time")
-    rows = both.unionByName(asked).withColumn("__c", F.floor((F.col("at") - origin) / step).cast("long"))
-    tops = rows.groupBy("metric", "__c").agg(F.max(F.when(F.col("kind") == 0, F.struct("t", "value"))).alias("top"))
-    before = Window.partitionBy("metric").orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)
-    tops = tops.select("metric", "__c", F.max("top").over(before).alias("__before"))
-    inside = Window.partitionBy("metric", "__c").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("__own", F.max(F.when(F.col("kind") == 0, F.struct("t", "value"))).over(inside))
-    found = rows.where("kind = 1").join(tops, ["metric", "__c"]).withColumn("p", F.coalesce("__own", "__before"))
-    return found.select("window_id", "metric", F.col("at").alias("start"), F.col("p.t").alias("time"), F.col("p.value").alias("value"))
+    """For windows (window_id, metric, start): the latest sample at or before start, null times without one."""
+    asked = windows.select("metric", F.col("start").alias("at"), "window_id")
+    found = nearest(raw.select("metric", "time", "value"), asked, False, stretches(raw, "time"))
+    return found.select("window_id", "metric", F.col("at").alias("start"), F.col("p.time").alias("time"), F.col("p.value").alias("value"))

@@ -6,6 +6,9 @@ by priority (disordered arrivals). Values are decimals, so that sums are the sam
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -21,13 +24,17 @@ from tidemark.plans.history import (
     AGGREGATE_TIMELINE,
     FLEX_TIMELINE,
     LAST_VALUE,
+    REQUESTS,
     Request,
     aggregate_from_levels,
     aggregate_windows,
     delta_encoded,
-    history,
+    last_values,
 )
 
+from tidemark.sources.store import Store, orphans
+from tidemark.streaming.ingest import completed, write_to_store
+
 S = 1_000_000_000
 HOUR = 3600 * S
 #: 1 h, 10 h, 100 h.
@@ -37,12 +44,15 @@ METRIC = "view"
 #: 2024-01-05 07:20:00.5, and the windows built on it.
 START = 1704439200 * S + S // 2
 DAY = 24 * HOUR
+#: 2024-01-28 00:00:05: the 100 h interval that holds it never completes in the test tables.
+LATE = 1706400000 * S + 5 * S
+EXACT = "decimal(12,2)"
 
 
 def events(spark: SparkSession, sf_dir: str, metric: str = "event_type", exact: bool = True) -> DataFrame:
     """Samples (metric, arrival, time, value) of the events table."""
     time = (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("time")
-    value = F.col("value").cast("decimal(12,2)") if exact else F.col("value")
+    value = F.col("value").cast(EXACT) if exact else F.col("value")
     return spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col(metric).cast("string").alias("metric"), F.col("event_id").alias("arrival"), time, value.alias("value"))
 
 
@@ -59,14 +69,62 @@ def one(raw: DataFrame) -> DataFrame:
     return raw.where(F.col("metric") == METRIC)
 
 
+def folder_of(spark: SparkSession) -> str:
+    """A new folder that all executors share; a temporary one only where no such folder is set."""
+    told = spark.conf.get("spark.checkpoint.dir", None)
+    if told:
+        return f"{told.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
+    made = tempfile.mkdtemp(prefix="tidemark-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
+    return f"file://{made}"
+
+
+_stores: dict[tuple[str, str], Store] = {}
+
+
+def store_of(spark: SparkSession, sf_dir: str) -> Store:
+    """The events table in a store, made once for a session: requests read its files."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _stores:
+        store = Store(spark, folder_of(spark), value=EXACT)
+        store.configure(dict.fromkeys(TYPES, CONFIG))
+        store.append(events(spark, sf_dir))
+        _stores[key] = store
+    return _stores[key]
+
+
 def ask(kind: str, start: int = 0, end: int = 0, interval: int = 0) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        raw = one(raw_of(spark, sf_dir))
-        return plain(history(raw, hierarchy(raw, CONFIG), {METRIC: CONFIG}, Request(METRIC, kind, start, end, interval)))
+        return plain(store_of(spark, sf_dir).history(Request(METRIC, kind, start, end, interval)))
 
     return query
 
 
+def many_timelines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five metrics, three requests each: of a level, regrouped, and one that falls back."""
+    kinds = ((AGGREGATE_TIMELINE, START, START + 4 * DAY, 2 * HOUR), (FLEX_TIMELINE, START, START + 9 * DAY, 7 * HOUR), (FLEX_TIMELINE, LATE, LATE + 30 * HOUR, 1000 * HOUR))
+    rows = [(3 * i + j, m, *k) for i, m in enumerate(TYPES) for j, k in enumerate(kinds)]
+    return plain(store_of(spark, sf_dir).histories(spark.createDataFrame(rows, REQUESTS)))
+
+
+def last_values_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plain(last_values(store_of(spark, sf_dir).raw()))
+
+
+def accept_nonfinite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Doubles, with NaN, infinite and null values among them: none of these is accepted nor moves the clock."""
+    e = events(spark, sf_dir, exact=False)
+    odd = F.when(F.col("arrival") % 7 == 0, F.lit(float("nan"))).when(F.col("arrival") % 11 == 0, F.lit(float("inf"))).when(F.col("arrival") % 13 == 0, F.lit(float("-inf")))
+    return accept(e.withColumn("value", F.when(F.col("arrival") % 17 == 0, F.lit(None)).otherwise(F.coalesce(odd, "value"))))
+
+
+def level_base_doubles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lowest level over doubles; sums to the cent, integrals to nine digits."""
+    raw = accept(events(spark, sf_dir, exact=False)).drop("arrival")
+    rows = expand(base_level(raw, HOUR))
+    return rows.select("metric", "time", "minimum", "maximum", F.round("sum", 2).alias("sum"), "count", F.format_string("%.8e", F.col("integral")).alias("integral"), "active_time")
+
+
 def accept_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     time = (F.unix_micros(F.col("o_orderdate").cast("timestamp")) * 1000).alias("time")
@@ -113,9 +171,10 @@ def chunk_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def response_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = one(raw_of(spark, sf_dir))
-    packed = delta_encoded(history(raw, hierarchy(raw, CONFIG), {METRIC: CONFIG}, Request(METRIC, FLEX_TIMELINE, START, START + DAY)))
-    return plain(packed.select(F.posexplode("time_delta").alias("pos", "delta")).select(F.col("pos").cast("long").alias("pos"), "delta"))
+    """Times and values of an encoded response, decoded again by their running sum."""
+    packed = delta_encoded(store_of(spark, sf_dir).history(Request(METRIC, FLEX_TIMELINE, START, START + DAY)))
+    each = packed.select(F.posexplode(F.arrays_zip("time_delta", "value")).alias("pos", "p"))
+    return plain(each.select(F.col("pos").cast("long").alias("pos"), F.col("p.time_delta").alias("delta"), F.col("p.value").alias("value")))
 
 
 def input_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,9 +184,14 @@ def input_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def union_hot_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw, split = raw_of(spark, sf_dir), START + 3 * DAY
-    whole = raw.where(F.col("time") < split).unionByName(raw.where(F.col("time") >= split))
-    return plain(expand(base_level(whole, HOUR)).select("metric", "time", *FIELDS))
+    """A store that holds the first days only, and a request that the rest, not committed, answers with it."""
+    every, split = events(spark, sf_dir), START + 3 * DAY
+    store = Store(spark, folder_of(spark), value=EXACT)
+    store.configure(dict.fromkeys(TYPES, CONFIG))
+    store.append(every.where(F.col("time") < split))
+    last = store.state().groupBy("metric").agg(F.max("last").alias("last"))
+    tail = accept(every.where(F.col("time") >= split), last)
+    return plain(store.history(Request(METRIC, AGGREGATE_TIMELINE, START, START + 9 * DAY, 2 * HOUR), tail))
 
 
 def block_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,8 +199,8 @@ def block_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def aggregate_from_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = one(raw_of(spark, sf_dir))
-    return plain(aggregate_from_levels(raw, hierarchy(raw, CONFIG), CONFIG, METRIC, START, START + 20 * DAY))
+    store = store_of(spark, sf_dir)
+    return plain(aggregate_from_levels(store.raw(metric=METRIC), store.levels(metric=METRIC), CONFIG, METRIC, START, START + 20 * DAY))
 
 
 def mean_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,47 +209,71 @@ def mean_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def orphans_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidemark.sources.store import orphans
-
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.concat(F.lit("k"), F.col("o_orderkey")).alias("path"))
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.concat(F.lit("k"), F.col("l_orderkey")).alias("path"))
     return orphans(orders, items)
 
 
-def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a stream into a store, in one available-now run; then the store."""
-    import tempfile
-
-    from tidemark.sources.store import Store
-    from tidemark.streaming.ingest import write_to_store
-
-    told = spark.conf.get("spark.checkpoint.dir", None)
-    folder = f"{told.rstrip('/')}/stream-{uuid.uuid4().hex}" if told else f"file://{tempfile.mkdtemp(prefix='tidemark-stream-')}"
+def streamed(spark: SparkSession, sf_dir: str) -> Store:
+    """The events table as a stream into a store: half of it, then, by a restart from the checkpoint, the rest; the store."""
+    folder = folder_of(spark)
     source = spark.read.parquet(f"{sf_dir}/events.parquet")
-    stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    middle = source.agg(F.max("event_id")).first()[0] // 2
+    store = Store(spark, f"{folder}/store", value=EXACT)
+    store.configure(dict.fromkeys(TYPES, CONFIG))
     time = (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("time")
-    samples = stream.select(F.col("event_type").alias("metric"), F.col("event_id").alias("arrival"), time, "value")
-    store, configs = Store(spark, f"{folder}/store"), dict.fromkeys(TYPES, CONFIG)
-    store.configure(configs)
-    query = write_to_store(samples, store, configs, f"{folder}/checkpoint")
-    query.awaitTermination()
+    for half in (source.where(F.col("event_id") <= middle), source.where(F.col("event_id") > middle)):
+        half.write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(source.schema).parquet(f"{folder}/in")
+        samples = stream.select(F.col("event_type").alias("metric"), F.col("event_id").alias("arrival"), time, F.col("value").cast(EXACT).alias("value"))
+        write_to_store(samples, store, f"{folder}/checkpoint").awaitTermination()
     return store
 
 
 def stream_accept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return streamed(spark, sf_dir).raw()
+    return plain(streamed(spark, sf_dir).raw())
 
 
 def stream_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = expand(streamed(spark, sf_dir).levels().where(F.col("level") == HOUR))
+    return plain(rows.select("metric", "time", *FIELDS))
+
+
+def stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operator with its state within the stream, into files: 10 h intervals."""
+    folder = folder_of(spark)
+    source = spark.read.parquet(f"{sf_dir}/events.parquet")
+    stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    time = (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("time")
+    samples = stream.select(F.col("event_type").alias("metric"), F.col("event_id").alias("arrival"), time, "value")
+    out = completed(samples, dict.fromkeys(TYPES, CONFIG)).writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint")
+    out.trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
+    rows = expand(spark.read.parquet(f"{folder}/out").where(F.col("level") == 10 * HOUR))
     return rows.select("metric", "time", "minimum", "maximum", "count", "active_time")
 
 
+def compacted(spark: SparkSession, sf_dir: str) -> Store:
+    """Five appends, of which a selective and then a whole compaction merge the parts; an append after that goes on."""
+    every = events(spark, sf_dir)
+    top = every.agg(F.max("arrival")).first()[0]
+    store = Store(spark, folder_of(spark), value=EXACT)
+    store.configure(dict.fromkeys(TYPES, CONFIG))
+    edges = [0, *(top * k // 6 for k in range(1, 6)), top + 1]
+    for lo, hi in zip(edges[:5], edges[1:6], strict=True):
+        store.append(every.where((F.col("arrival") >= lo) & (F.col("arrival") < hi)))
+    before = store.snapshot()
+    merged = store.compact(fan_in=2, full=3 * min(r for r, _ in before.raw.values()))
+    whole = store.compact(whole=True)
+    if not (len(before.raw) == 5 and 1 < len(merged.raw) < 5 and len(whole.raw) == len(whole.level) == 1 and not set(whole.raw) & set(before.raw)):
+        raise RuntimeError("the parts weren't merged")
+    store.append(every.where(F.col("arrival") >= edges[5]))
+    store.vacuum(grace_ms=0)
+    return store
+
+
 def compact_invariance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    store = streamed(spark, sf_dir)
-    store.compact()
-    rows = expand(store.levels().where(F.col("level") == HOUR))
-    return rows.select("metric", "time", "minimum", "maximum", "count", "active_time")
+    rows = expand(compacted(spark, sf_dir).levels().where(F.col("level") == HOUR))
+    return plain(rows.select("metric", "time", *FIELDS))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -206,7 +294,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "aggregate_many_windows": aggregate_many,
     "aggregate_from_blocks": aggregate_from_blocks,
     "flex_level_regroup": ask(FLEX_TIMELINE, START, START + 9 * DAY, 7 * HOUR),
-    "level_fallback": ask(FLEX_TIMELINE, START + 5 * S, START + 30 * HOUR, 1000 * HOUR),
+    "level_fallback": ask(FLEX_TIMELINE, LATE, LATE + 30 * HOUR, 1000 * HOUR),
+    "many_timelines": many_timelines,
+    "last_values": last_values_query,
+    "accept_nonfinite": accept_nonfinite,
+    "level_base_doubles": level_base_doubles,
     "timeline_raw_aggregates": ask(AGGREGATE_TIMELINE, START, START + DAY, 5),
     "flex_raw_values": ask(FLEX_TIMELINE, START, START + DAY, 0),
     "flex_raw_smoothing": ask(FLEX_TIMELINE, START, START + 2 * DAY, HOUR - S),
@@ -220,6 +312,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "orphans_anti": orphans_anti,
     "stream_accept": stream_accept,
     "stream_levels": stream_levels,
+    "stream_state": stream_state,
     "compact_invariance": compact_invariance,
 }
 
@@ -270,6 +363,17 @@ o AS (SELECT *, (bt - (SELECT min(bt) FROM g)) // {level} // {factor} AS grp FRO
 SELECT min(bt) AS time, {_SUMS} FROM o GROUP BY grp"""
 
 
+def _flex(upper: int, start: int, end: int) -> str:
+    """A flexible timeline by the coarsest level up to upper that has an interval in the window."""
+    levels = ", ".join(f"({x})" for x in CONFIG.levels() if x <= upper)
+    return f"""WITH {_raw(only=True)}, lv(level) AS (VALUES {levels}),
+cut AS (SELECT level, value, time, prev, unnest(range(prev // level, time // level + 1)) AS b FROM seg, lv),
+g AS (SELECT level, b * level AS bt, value, least(time, (b + 1) * level) - greatest(prev, b * level) AS d, CASE WHEN b = time // level THEN 1 ELSE 0 END AS n
+  FROM cut WHERE (b + 1) * level <= {_LAST} AND b * level >= {start} - {start} % level AND b * level < {end}),
+o AS (SELECT *, (bt - (SELECT min(bt) FROM g WHERE level = (SELECT max(level) FROM g))) // level // ({upper} // level) AS grp FROM g WHERE level = (SELECT max(level) FROM g))
+SELECT min(bt) AS time, {_SUMS} FROM o GROUP BY grp"""
+
+
 def _window(start: int, end: int) -> str:
     """CTEs with rs: the samples of a raw window, its predecessor and lag."""
     return f"""{_raw(only=True)},
@@ -311,7 +415,26 @@ SELECT v.window_id, v.start, coalesce(minimum, 'inf'::DOUBLE) AS minimum, coales
   coalesce(count, 0) AS count, coalesce(integral, 0) AS integral, coalesce(active_time, 0) AS active_time FROM v LEFT JOIN a ON v.window_id = a.window_id""",
     "aggregate_from_blocks": _aggregate(START, START + 20 * DAY),
     "flex_level_regroup": _timeline(HOUR, 7, START, START + 9 * DAY),
-    "level_fallback": _timeline(100 * HOUR, 1, START + 5 * S, START + 30 * HOUR),
+    "level_fallback": _flex(100 * HOUR, LATE, LATE + 30 * HOUR),
+    "many_timelines": f"""WITH {_raw()}, lv(level) AS (VALUES {", ".join(f"({x})" for x in CONFIG.levels())}),
+k(j, flex, a, z, upper) AS (VALUES (0, false, {START}, {START + 4 * DAY}, {2 * HOUR}), (1, true, {START}, {START + 9 * DAY}, {7 * HOUR}), (2, true, {LATE}, {LATE + 30 * HOUR}, {100 * HOUR})),
+m AS (SELECT i, [{", ".join(f"'{t}'" for t in TYPES)}][i + 1] AS metric FROM (SELECT unnest(range(5)) AS i)),
+ends AS (SELECT metric, max(time) AS last FROM raw GROUP BY metric),
+cut AS (SELECT metric, level, value, time, prev, unnest(range(prev // level, time // level + 1)) AS b FROM seg, lv),
+g AS (SELECT 3 * i + j AS request_id, flex, upper, c.metric, level, b * level AS bt, value, least(time, (b + 1) * level) - greatest(prev, b * level) AS d, CASE WHEN b = time // level THEN 1 ELSE 0 END AS n
+  FROM cut c JOIN m ON c.metric = m.metric JOIN ends e ON c.metric = e.metric, k WHERE level <= upper AND (b + 1) * level <= last AND b * level >= a - a % level AND b * level < z),
+t AS (SELECT request_id, max(level) AS level FROM g GROUP BY request_id),
+f AS (SELECT g.*, min(bt) OVER (PARTITION BY g.request_id) AS o FROM g JOIN t ON g.request_id = t.request_id AND g.level = t.level),
+x AS (SELECT *, (bt - o) // level // CASE WHEN flex THEN upper // level ELSE 1 END AS grp FROM f)
+SELECT request_id::BIGINT AS request_id, min(bt) AS time, {_SUMS} FROM x GROUP BY request_id, grp""",
+    "last_values": f"WITH {_raw()} SELECT metric, max(time) AS time, arg_max(value, time)::DOUBLE AS value FROM raw GROUP BY metric",
+    "accept_nonfinite": """
+WITH s AS (SELECT event_type AS metric, event_id AS arrival, epoch_ns(ts) AS time, CASE WHEN event_id % 17 = 0 THEN NULL WHEN event_id % 7 = 0 THEN 'nan'::DOUBLE
+  WHEN event_id % 11 = 0 THEN 'inf'::DOUBLE WHEN event_id % 13 = 0 THEN '-inf'::DOUBLE ELSE value END AS value FROM events),
+r AS (SELECT *, max(CASE WHEN isfinite(value) THEN time END) OVER (PARTITION BY metric ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM s)
+SELECT metric, arrival, time, value FROM r WHERE isfinite(value) AND time > greatest(coalesce(top, 0), 0)""",
+    "level_base_doubles": _level(HOUR, fields="""min(value)::DOUBLE AS minimum, max(value)::DOUBLE AS maximum, sum(value * n)::DOUBLE AS sum, sum(n)::BIGINT AS count,
+  printf('%.8e', sum(value * d::DECIMAL(18,0))::DOUBLE) AS integral, sum(d)::BIGINT AS active_time"""),
     "timeline_raw_aggregates": f"""WITH {_window(START, START + DAY)}
 SELECT time, value::DOUBLE AS minimum, value::DOUBLE AS maximum, value::DOUBLE AS sum, 1::BIGINT AS count,
   (value * coalesce(time - pt, 0)::DECIMAL(18,0))::DOUBLE AS integral, coalesce(time - pt, 0)::BIGINT AS active_time FROM rs""",
@@ -325,15 +448,16 @@ SELECT {START} + k * {_M} AS time, {_SUMS} FROM x GROUP BY k""",
 m AS (SELECT w.window_id, max(r.time) AS time FROM w JOIN raw r ON r.metric = w.metric AND r.time <= w.start GROUP BY w.window_id)
 SELECT w.window_id, w.metric, w.start, m.time, r.value::DOUBLE AS value FROM w LEFT JOIN m ON m.window_id = w.window_id LEFT JOIN raw r ON r.metric = w.metric AND r.time = m.time""",
     "chunk_roundtrip": f"WITH {_raw()} SELECT metric, time, value::DOUBLE AS value FROM raw",
-    "response_deltas": f"WITH {_window(START, START + DAY)} SELECT row_number() OVER (ORDER BY time) - 1 AS pos, time - coalesce(pt, 0) AS delta FROM rs",
+    "response_deltas": f"WITH {_window(START, START + DAY)} SELECT row_number() OVER (ORDER BY time) - 1 AS pos, time - coalesce(pt, 0) AS delta, value::DOUBLE AS value FROM rs",
     "input_mapping": "SELECT 'metric/' || event_type AS metric, event_id AS arrival, epoch_ns(ts) AS time, value FROM events",
-    "union_hot_tail": _level(HOUR),
+    "union_hot_tail": _timeline(HOUR, 1, START, START + 9 * DAY),
     "block_summary": f"""WITH {_raw()},
 nb AS (SELECT *, (row_number() OVER (PARTITION BY metric ORDER BY time) - 1) // 1024 AS block, time - prev AS d, 1 AS n FROM seg)
 SELECT metric, block, min(time) AS first, max(time) AS last, {_SUMS} FROM nb GROUP BY metric, block""",
     "mean_weighted": _level(HOUR, fields="CASE WHEN sum(n) > 0 THEN sum(value * n)::DOUBLE / sum(n) END AS mean, CASE WHEN sum(d) > 0 THEN sum(value * d::DECIMAL(18,0))::DOUBLE / sum(d) END AS weighted_mean"),
     "orphans_anti": "SELECT DISTINCT 'k' || o_orderkey AS path FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)",
     "stream_accept": f"WITH {_raw()} SELECT metric, time, value::DOUBLE AS value FROM raw",
-    "stream_levels": _level(HOUR, fields=_EXACT),
-    "compact_invariance": _level(HOUR, fields=_EXACT),
+    "stream_levels": _level(HOUR),
+    "stream_state": _level(10 * HOUR, fields=_EXACT),
+    "compact_invariance": _level(HOUR),
 }

@@ -1,26 +1,37 @@
-"""Streaming ingest: per-metric state, accepted samples and completed intervals, exactly once.
+"""Streaming ingest: accepted samples and completed intervals, exactly once.
 
-State of a metric: its last accepted time and the open interval of each level. A batch's samples are
-sorted by arrival, accepted by the state's clock (late and repeated ones are dropped), and emitted
-with the intervals that they complete; wall time closes nothing. Output rows are samples (level 0)
-and level rows with repeat, as the batch plans make them.
+write_to_store() keeps the state in the store: each batch is appended as one version, which holds the batch's number
+for its stream. Whatever a crash leaves undone is done again or found done; state, samples and intervals change
+together. The store's open intervals seed any new stream.
+
+completed() is the same as an operator within a stream, without a store. State of a metric: its last accepted time and the open
+interval of each level. A batch's samples of one metric are held and sorted by one task, so batches should
+be bounded (maxFilesPerTrigger and the like); late and repeated samples are dropped; wall time closes nothing.
+Output rows are samples (level 0) and level rows with repeat, as the batch plans make them.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.functions.algebra import FIELDS
-from tidemark.operators.config import SeriesConfig
+from tidemark.operators.config import SeriesConfig, config_frame
+from tidemark.operators.samples import decode_chunks, route
+from tidemark.sources.store import Files, Store
+from tidemark.streaming.code import ship
 
 OUTPUT = "metric string, level long, time long, repeat long, value double, minimum double, maximum double, sum double, count long, integral double, active_time long"
 STATE = "last long, bucket array<long>, minimum array<double>, maximum array<double>, sum array<double>, count array<long>, integral array<double>, active_time array<long>"
+#: Points that a delivered chunk holds at most: arrivals of chunks are so far apart.
+CHUNK_POINTS = 1 << 20
 NAMES = [c.split()[0] for c in OUTPUT.split(", ")]
 
 
@@ -80,9 +91,12 @@ def advance(config: SeriesConfig, metric: str, pdf: pd.DataFrame, state: tuple |
 
 
 def completed(samples: DataFrame, configs: dict[str, SeriesConfig]) -> DataFrame:
-    """A stream of samples (metric, arrival, time, value) as a stream of OUTPUT rows."""
+    """A stream of samples (metric, arrival, time, value) as a stream of OUTPUT rows; a metric that isn't configured is an error."""
+    ship(samples.sparkSession)
 
     def step(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if key[0] not in configs:
+            raise ValueError(f"metric {key[0]!r} isn't configured")
         pdf = pd.concat(list(batches), ignore_index=True)
         table, new = advance(configs[key[0]], key[0], pdf, state.get if state.exists else None)
         if new is not None:
@@ -90,25 +104,39 @@ def completed(samples: DataFrame, configs: dict[str, SeriesConfig]) -> DataFrame
         kinds = {"level": "int64", "time": "int64", "repeat": "int64"}
         yield table.astype(kinds)
 
-    known = samples.where(F.col("metric").isin(list(configs)))
-    chosen = known.select("metric", "arrival", "time", F.col("value").cast("double").alias("value"))
+    chosen = samples.select("metric", "arrival", "time", F.col("value").cast("double").alias("value"))
     return chosen.groupBy("metric").applyInPandasWithState(step, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def write_to_store(stream: DataFrame, store, configs: dict[str, SeriesConfig], checkpoint: str, **trigger):
-    """Runs the stream into a store: each batch is one committed version. A batch that is run again after a
-    failure finds its mark and isn't committed twice."""
-    from tidemark.operators.hierarchy import COLUMNS
+def stream_id(store: Store, checkpoint: str) -> str:
+    """The id that Spark gave the stream of a checkpoint: the same after every restart."""
+    return json.loads(Files(store.spark, checkpoint.rstrip("/")).read("metadata"))["id"]
+
+
+def write_to_store(samples: DataFrame, store: Store, checkpoint: str, **trigger) -> StreamingQuery:
+    """Appends a stream of samples (metric, arrival, time, value) to a store, one version a batch."""
+
+    def commit(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
+        try:
+            store.append(batch, (stream_id(store, checkpoint), number))
+        finally:
+            batch.unpersist()
+
+    return samples.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def write_chunks_to_store(chunks: DataFrame, store: Store, checkpoint: str, **trigger) -> StreamingQuery:
+    """The same for deliveries of chunks (input, arrival, time_delta, value): they are decoded, and inputs renamed to
+    the metrics that they feed. arrival is a delivery's number; its points count on within it."""
 
     def commit(batch: DataFrame, number: int) -> None:
-        base = store.snapshot()
-        mark = f"stream-{number}"
-        if any(p.endswith(mark) for p in base.raw):
-            return
-        batch.persist()
-        raw = store._write(batch.where("level = 0").select("metric", "time", "value"), "raw", name=mark)
-        level = store._write(batch.where("level > 0").select(*COLUMNS), "level", name=mark)
-        store.commit(base, raw=[*base.raw, raw], level=[*base.level, level])
-        batch.unpersist()
-
-    return completed(stream, configs).writeStream.foreachBatch(commit).outputMode("append").option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+        batch = batch.persist()
+        try:
+            routed = route(batch, config_frame(store.spark, store.configs()))
+            points = decode_chunks(routed)
+            store.append(points.select("metric", "time", "value", (F.col("arrival") * CHUNK_POINTS + F.col("pos")).alias("arrival")), (stream_id(store, checkpoint), number))
+        finally:
+            batch.unpersist()
+
+    return chunks.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
