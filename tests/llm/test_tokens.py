@@ -8,11 +8,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, mixing
+from tidemark.llm import ann, mixing, tokens
 from tidemark.llm.ann import build, lengthened, nearest, search
 from tidemark.llm.packing import CAPACITY, cuts, packed
 from tidemark.llm.queries import tokenizer_path
-from tidemark.llm.tokens import ChunkEncoder, Pack, dictionary_hash, make_pack, token_report
+from tidemark.llm.tokens import ChunkEncoder, Pack, dictionary_hash, dictionary_of, make_pack, token_report
 
 SF = "/root/testdata/sf0.001"
 TEXTS = [(5, "The thin é fox's tail, don't!"), (2, None), (3, ""), (None, "a\xa0b  c"), (5, "again <|endoftext|> x"), (1, "word " * 9000), (4, "ΑΣ Σ ß İI 's ''s"), (4, "ΑΣ Σ ß İI 's ''s")]
@@ -109,6 +109,102 @@ def test_mixing(spark):
     assert mixing.mix_report(docs.limit(0)).count() == 0
 
 
+def spark_hash(*values):
+    """The engine's 64-bit hash of ints (4 bytes), longs (8, marked by a tuple), strings; nulls are skipped."""
+    import xxhash
+
+    h = 42
+    for v in values:
+        if v is None or v == (None,):
+            continue
+        data = v.encode() if isinstance(v, str) else v[0].to_bytes(8, "little", signed=True) if isinstance(v, tuple) else v.to_bytes(4, "little", signed=True)
+        h = xxhash.xxh64_intdigest(data, seed=h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def brute_mix(rows, seed=42):
+    """taken of each row (doc_id, text, source), by the definition: one slot, one word at a time."""
+    size = [len((t or "").split()) for _, t, _ in rows]
+    names = sorted({s for *_, s in rows if s is not None}) + [None] * any(s is None for *_, s in rows)
+    total = [sum(n for n, (*_, s) in zip(size, rows, strict=True) if s == name) for name in names]
+    weight, free = [(3, 1, 2)[i % 3] for i in range(len(names))], set(range(len(names)))
+    while True:
+        level = (1.5 * sum(total) - sum(2 * total[i] for i in range(len(names)) if i not in free)) / max(1, sum(weight[i] for i in free))
+        over = {i for i in free if level * weight[i] > 2 * total[i]}
+        if not over:
+            break
+        free -= over
+    target = [level * weight[i] if i in free else 2 * total[i] for i in range(len(names))]
+    block = [max(1, min(mixing.BLOCK, n // 64)) for n in total]
+    n_blocks = [-(-n // b) for n, b in zip(total, block, strict=True)]
+    n_slots = [min(int(t / b + 0.5), 2 * k) for t, b, k in zip(target, block, n_blocks, strict=True)]
+    every, shards = sum(n_slots), {}
+    for i in range(every):
+        u = ((spark_hash(seed, (i,)) % (1 << 64)) >> 11) / (1 << 53)
+        at, sid = 0, 0
+        while not at / every <= u < (at + n_slots[sid]) / every:
+            at, sid = at + n_slots[sid], sid + 1
+        shards.setdefault(i // mixing.SHARD, Counter())[sid] += 1
+    drawn, counts, over = Counter(), Counter(), []
+    for shard in sorted(shards):
+        for sid, n in sorted(shards[shard].items()):
+            keep = min(n, n_slots[sid] - drawn[sid])
+            counts[shard, sid] += keep
+            drawn[sid] += keep
+            over += [shard] * (n - keep)
+    short = [sid for sid in range(len(names)) for _ in range(n_slots[sid] - drawn[sid])]
+    for shard, sid in zip(over, short, strict=True):
+        counts[shard, sid] += 1
+
+    def permuted(j, n, *by):
+        bits = n.bit_length() - 1
+        m, half = 1 << bits, max(1, bits // 2)
+        for r in range(1, 4):
+            odd = 2 * (spark_hash(r, *by) % (1 << 64) & ((1 << 19) - 1)) + 1
+            fold = lambda x: x ^ (x >> half)
+            v = fold((fold(j) * odd) & (m - 1)) if j < m else j
+            j = (v + spark_hash(-r, *by)) % n
+        return j
+
+    uses, first = Counter(), Counter()
+    for (_, sid), n in sorted(counts.items()):
+        for i in range(first[sid], first[sid] + n):
+            k, j = divmod(i, n_blocks[sid])
+            uses[sid, permuted(j, n_blocks[sid], seed, sid, (k,))] += 1
+        first[sid] += n
+    keys = [spark_hash((d,), t, s) for d, t, s in rows]
+    order = sorted(range(len(rows)), key=lambda i: (spark_hash(seed, (rows[i][0],), (keys[i],)) % (len(rows) // mixing.CHUNK + 1), rows[i][0] is not None, rows[i][0] or 0, keys[i]))
+    at, out = Counter(), [0] * len(rows)
+    for i in order:
+        sid = names.index(rows[i][2])
+        for w in range(at[sid], at[sid] + size[i]):
+            out[i] += uses[sid, w // block[sid]]
+        at[sid] += size[i]
+    return out
+
+
+def test_mix_plan(spark, monkeypatch):
+    """Every document's taken words as the method says, by brute force; several shards and chunks."""
+    monkeypatch.setattr(mixing, "SHARD", 64)
+    monkeypatch.setattr(mixing, "CHUNK", 40)
+    monkeypatch.setattr(mixing, "TASK_SLOTS", 50)
+    rng = np.random.default_rng(4)
+    rows = [(i, "w " * int(n), None if i % 9 == 0 else f"s{i % 4}") for i, n in enumerate(rng.integers(0, 300, 150))]
+    rows += [(7, "a b", "s1"), (7, "a b", "s1"), (None, "x y z", "s2"), (8, None, "s3"), (3, "lone", "é")]
+    got = mixing.mix_report(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    taken = brute_mix(rows)
+    assert sorted((r.doc_id or -1, r.size, r.taken) for r in got) == sorted((d or -1, len((t or "").split()), n) for (d, t, _), n in zip(rows, taken, strict=True))
+
+
+def test_mixed_rows_keep_their_columns(spark):
+    """Rows alike in id and text but not in other columns stay apart."""
+    rows = [(1, "a b c d", "s", "one"), (1, "a b c d", "s", "two"), (1, "a b c d", "s", "two"), (2, "e f", "t", None)] * 10
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    mixed = mixing.mixed_documents(docs).collect()
+    assert sum(len(r.text.split()) for r in mixed) == sum(r.taken for r in mixing.mix_report(docs).collect())
+    assert {(r.doc_id, r.source, r.lang) for r in mixed} <= {(r[0], r[2], r[3]) for r in rows} and {r.lang for r in mixed} == {"one", "two", None}
+
+
 def test_permutation(spark):
     for n in (1, 2, 3, 1000, 4097):
         p = [r.p for r in spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(5)).alias("p")).collect()]
@@ -154,6 +250,89 @@ def test_neighbours(spark):
     assert nearest(table.limit(0)).count() == 0
 
 
+def test_neighbours_folded_in_parts(spark, monkeypatch):
+    """Tasks that hand on what they fold in parts; columns that bear the operator's own names."""
+    monkeypatch.setattr(ann, "FOLD", 7)
+    rows = [(i, [float(i % 30), 1.0], "x", 3) for i in range(100)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, vec string, shard int")
+    got = {}
+    for r in nearest(table).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    for q in range(0, 100, 20):
+        want = sorted((-(float(i % 30) * (q % 30) + 1.0), i) for i in range(100) if i != q)[:20]
+        assert got[q] == [(i, -s) for s, i in want]
+
+
+def test_dictionary():
+    import zstandard
+
+    rng = np.random.default_rng(3)
+    many = [rng.integers(0, 90, 200).astype("<u4").tobytes() for _ in range(300)]
+    assert dictionary_of([]) == b"" and dictionary_of([b"abcd"] * 9) == b"abcd"
+    trained = dictionary_of(many)
+    assert trained[:4] == (0xEC30A437).to_bytes(4, "little")  # a trained dictionary's mark
+    for d in (trained, b"abcd", b""):
+        frame = tokens._compressor(d).compress(many[0])
+        assert tokens._decompressor(d).decompress(frame) == many[0]
+    alike = zstandard.ZstdCompressor(level=3).compress(many[0])
+    assert len(tokens._compressor(trained).compress(many[0])) < len(alike)
+
+
+def test_other_tokenizer():
+    """A file with other steps: whole texts go to the library."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encode, texts = ChunkEncoder(path, None), ["a  b\n<|endoftext|> Ünï", "", None]
+    assert not encode.known
+    assert [x.tolist() for x in encode(texts)] == [Tokenizer.from_file(path).encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_encoder_forgets(monkeypatch):
+    """Few pieces kept, small parts: the same ids as the library's."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokens, "KEEP", 40)
+    monkeypatch.setattr(tokens, "PART_BYTES", 300)
+    rng = np.random.default_rng(9)
+    letters = list("abcXYZ'st\n\t  éÀß×÷0१½<|>.,!\x00\x1c\x85　中😀ſİ") + ["<|endoftext|>", "'re", "n't", "́"]
+    texts = ["".join(rng.choice(letters, rng.integers(0, 40))) for _ in range(800)]
+    library = Tokenizer.from_file(tokenizer_path())
+    assert [x.tolist() for x in ChunkEncoder(tokenizer_path(), None)(texts)] == [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+
+
+ODD = [
+    (1, None), (2, ""), (2, "again the same id " * 30), (None, "no id at all but a text that is long enough " * 9), (5, "w " * 100_000),
+    *[(10 + i, " ".join(f"w{(i * 37 + k * 13) % 400}" for k in range(120))) for i in range(12)], (30, "word of its own " + " ".join(f"v{k}" for k in range(80))),
+    (31, "word of its own " + " ".join(f"v{k}" for k in range(80))), (31, "word of its own " + " ".join(f"v{k}" for k in range(80))),
+]
+
+
+@pytest.mark.parametrize("kind", ["odd", "empty", "all null"])
+def test_pipeline_stages_on_odd_tables(spark, tmp_path, kind):
+    """Nulls in any column, repeated rows, empty and long texts, columns with the operators' own names, no rows."""
+    names = "doc_id long, text string, lang string, source string, n_chars long, score string, n_lines long, size string, label long, kept string"
+    rows = [(i, t, None if k % 3 else "x", None if k % 4 == 0 else f"s{k % 2}", len(t or ""), "s", 7, None, 3, "k") for k, (i, t) in enumerate(ODD)]
+    rows = {"odd": rows, "empty": [], "all null": [(None,) * 10] * 3}[kind]
+    labels = spark.createDataFrame([(i, int(i < 16), 0) for i in range(10, 22)] if kind == "odd" else [], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame(rows, names)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        path = f"{tmp_path}/{name}"
+        out.write.parquet(path)
+        docs = spark.read.parquet(path)
+        held = Counter((r.doc_id, r.source) for r in docs.collect())
+        assert set(held) <= {(r[0], r[3]) for r in rows}, name
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert {r.doc_id for r in pieces} == {r.doc_id for r in docs.collect()}
+    if kind == "odd":
+        # of the three alike one stays; the null and empty ones and those of one word only fail the rules
+        assert len({30, 31} & {r.doc_id for r in pieces}) <= 1 and not {1, 5} & {r.doc_id for r in pieces}
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns, seen = docs.columns, docs

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import io
 import os
 import shutil
@@ -46,6 +47,7 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, tag)
     df.write.parquet(path)
+    tidy()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -71,6 +73,29 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(os.path.join(folder, "tidemark_code.zip"))
 
 
+def tidy() -> None:
+    """Gives memory that a Python worker has freed back to the machine: workers are kept between tasks."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # other C libraries have none
+        pass
+
+
+def lean(step):
+    """An Arrow step that tidies up after each batch that it made, and at its end."""
+
+    def run(batches):
+        for made in step(batches):
+            yield made
+            tidy()
+        tidy()
+
+    return run
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value evaluated once for each row."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm._shared import ship, written
+from tidemark.llm._shared import lean, ship, written
 from tidemark.llm.tokens import encoder, parts
 
 CAPACITY = 4096
@@ -64,7 +64,7 @@ def pieces_of(docs: DataFrame, tokenizer: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+        lean(cut), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
     )
     return found.withColumn("k", F.expr(f"{CAPACITY} div length"))
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._shared import row_key, ship, small, text_of, written
+from tidemark.llm._shared import lean, row_key, ship, small, text_of, written
 from tidemark.llm.near import mix
 from tidemark.llm.tokens import parts
 
@@ -220,7 +220,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """(k, d, lo, hi): repeated stretches of bytes by the keys of a row; they may overlap."""
     ship(docs.sparkSession)
     keyed = docs.select(*[c.alias(n) for c, n in zip(row_key(), ("k", "d"), strict=True)], "text").where(F.octet_length("text") >= LENGTH)
-    found = written(keyed.mapInArrow(_sampled, "k long, d long, at long, name long, context long"), "suffix-samples")
+    found = written(keyed.mapInArrow(lean(_sampled), "k long, d long, at long, name long, context long"), "suffix-samples")
     names = written(found.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name"), "suffix-names")
     found = written(found.join(small(names, names.count(), BROADCAST_NAMES), "name", "left_semi"), "suffix-found")
     by_context = written(found.groupBy("name", "context").agg(F.count("*").alias("n"), F.min(F.struct("k", "d", "at")).alias("r")), "suffix-contexts")
@@ -232,13 +232,13 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     want = written(want, "suffix-wanted")
     n_want = want.count()
     some = keyed.join(small(want.select("k", "d"), n_want), ["k", "d"], "left_semi").dropDuplicates(["k", "d"]).join(want, ["k", "d"])
-    contexts = written(some.mapInArrow(_contexts, "name long, k long, d long, at long, n long, kinds long, left long, bytes binary"), "suffix-bytes")
+    contexts = written(some.mapInArrow(lean(_contexts), "name long, k long, d long, at long, n long, kinds long, left long, bytes binary"), "suffix-bytes")
     few = contexts.where(F.col("kinds") <= MANY).repartition("name").sortWithinPartitions("name")
-    part = few.mapInArrow(_compared, "k long, d long, lo long, hi long")
+    part = few.mapInArrow(lean(_compared), "k long, d long, lo long, hi long")
     spans = whole.unionByName(part)
     hot = contexts.where(F.col("kinds") > MANY)
     if hot.limit(1).count():
-        strings = hot.mapInArrow(_hashed, "name long, k long, d long, at long, n long, back long, string long")
+        strings = hot.mapInArrow(lean(_hashed), "name long, k long, d long, at long, n long, back long, string long")
         twice = strings.groupBy("name", "back", "string").agg(F.count("*").alias("c")).where("c > 1").drop("c")
         met = strings.where("n = 1").join(twice, ["name", "back", "string"], "left_semi")
         spans = spans.unionByName(met.select("k", "d", (F.col("at") - F.col("back")).alias("lo"), (F.col("at") - F.col("back") + LENGTH).alias("hi")))
@@ -272,7 +272,7 @@ def suffix_report(docs: DataFrame) -> DataFrame:
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     n = spans.count()
     ids = small(spans.select("k", "d"), n)
-    cut = keyed.join(ids, ["k", "d"], "left_semi").join(spans, ["k", "d"]).select("doc_id", "text", "spans").mapInArrow(_cut, schema)
+    cut = keyed.join(ids, ["k", "d"], "left_semi").join(spans, ["k", "d"]).select("doc_id", "text", "spans").mapInArrow(lean(_cut), schema)
     clean = keyed.join(ids, ["k", "d"], "left_anti")
     zero = F.lit(0).cast("long")
     clean = clean.select("doc_id", F.octet_length(text_of()).cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2(text_of(), 256).alias("kept_sha256"))

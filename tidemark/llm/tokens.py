@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm._shared import new_path, ship, small, text_of, written
+from tidemark.llm._shared import new_path, ship, small, text_of, tidy, written
 
 END_ID = 2
 MAGIC, VERSION = b"TIDEPACK", 1
@@ -46,10 +46,10 @@ TRAIN_LEAST = 64
 #: A pack is closed when its frames reach so many bytes.
 PACK_BYTES = 1 << 20
 LEVEL = 3
-#: Pieces, and chunks of other letters, whose ids a worker keeps: about 50 MB of pieces. Pieces given to the library in one string.
-KEEP, AT_ONCE = 1 << 18, 100
+#: Pieces, and chunks of other letters, whose ids a worker keeps: about 25 MB. Pieces given to the library in one string.
+KEEP, AT_ONCE = 1 << 17, 100
 #: Bytes of texts encoded at once.
-PART_BYTES = 4 << 20
+PART_BYTES = 2 << 20
 
 #: Chunks that the tokenizer's own steps (compose, lower-case, split, bytes as characters) leave simple: ASCII and the
 #: letters of Latin-1, whose composed forms and lower case are their own. Others go through the whole tokenizer.
@@ -80,8 +80,10 @@ def byte_characters() -> dict[int, str]:
 def gathered(pool: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The stretches of pool that begin at starts, one after another."""
     ends = np.cumsum(counts)
-    total = int(ends[-1]) if len(ends) else 0
-    return pool[np.repeat(starts - (ends - counts), counts) + np.arange(total)]
+    kind = np.int32 if len(ends) and max(int(ends[-1]), len(pool)) < 1 << 31 else np.int64
+    at = np.repeat((starts - (ends - counts)).astype(kind), counts)
+    at += np.arange(len(at), dtype=kind)
+    return pool[at]
 
 
 class Store:
@@ -128,20 +130,20 @@ class ChunkEncoder:
     """Ids of whole texts, the end id included."""
 
     def __init__(self, path: str, end_id: int | None = END_ID):
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers.models import BPE
 
         self.tokenizer = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as f:
-            told = json.load(f)
-        model = told["model"]
-        self.known = all(told[k] == v for k, v in KNOWN.items()) and model["type"] == "BPE" and model["end_of_word_suffix"] == WORD_END and not model["dropout"]
+        model, steps = self.tokenizer.model, {k: getattr(self.tokenizer, k) for k in KNOWN}
+        same = all(x is not None and json.loads(x.__getstate__()) == KNOWN[k] for k, x in steps.items())
+        self.known = same and isinstance(model, BPE) and model.end_of_word_suffix == WORD_END and not model.dropout
         self.end = end_id
-        self.special = "|".join(re.escape(t["content"]) for t in told["added_tokens"])
+        self.special = "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
         if not self.known:
             return
         # the file's model alone, for pieces that are split and written as byte characters already
-        self.words = Tokenizer.from_file(path)
-        self.words.normalizer, self.words.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
+        self.words = Tokenizer(model)
+        self.words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends_word[[i for t, i in self.tokenizer.get_vocab(False).items() if t.endswith(WORD_END)]] = True
         characters = byte_characters()
@@ -210,6 +212,7 @@ class ChunkEncoder:
             for to in ends.tolist():
                 yield flat[at:to]
                 at = to
+            tidy()
 
 
 _encoders: dict[tuple, ChunkEncoder] = {}
@@ -234,7 +237,7 @@ def slices(texts: pa.Array, most: int) -> Iterator[pa.Array]:
         at = to
 
 
-def parts(batch: pa.RecordBatch, column: str, most: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
+def parts(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch of about most bytes of a text column."""
     at = 0
     for part in slices(batch.column(column), most):
