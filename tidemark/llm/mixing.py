@@ -12,7 +12,7 @@ weight. Draws leave a source some slots over or short; slots over go to sources
 so that each source takes its target to within a block.
 
 Null and empty texts have size 0 and take nothing. Rows with the same doc_id are documents of
-their own. A table without words gives targets of 0. Columns of the input are not read but for
+their own; rows alike in every column are interchangeable. A table without words gives targets of 0. Columns of the input are not read but for
 doc_id, source and text.
 """
 
@@ -30,6 +30,8 @@ CAP = 2
 BLOCK = 128
 #: Slots in an output shard.
 SHARD = 8192
+#: Slots that one task makes.
+TASK_SLOTS = 1 << 16
 #: Documents in a stretch within which places are numbered.
 CHUNK = 4096
 GRID = 4096
@@ -107,22 +109,29 @@ def permuted(j: Column, n: Column, *seed: Column) -> Column:
     return x
 
 
-def slot_plan(src: DataFrame, counts: DataFrame, seed: int) -> DataFrame:
+def slot_plan(src: DataFrame, counts: DataFrame, total: int, seed: int) -> DataFrame:
     """One row for each output slot: shard, sid, pass, block."""
     along = Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     runs = counts.withColumn("first", F.coalesce(F.sum("count").over(along), F.lit(0)))
     runs = runs.join(small(src.select("sid", "n_blocks"), src.count()), "sid")
+    # a row here becomes up to SHARD slots: dealt to as many tasks as there are slots for
+    runs = runs.repartition(total // TASK_SLOTS + 1, "sid", "shard")
     slots = runs.select("shard", "sid", "n_blocks", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("count") - 1)).alias("i"))
     slots = slots.withColumns({"pass": F.expr("i div n_blocks"), "j": F.expr("i % n_blocks")})
     block = permuted(F.col("j"), F.col("n_blocks"), F.lit(seed), F.col("sid"), F.col("pass"))
     return slots.select("shard", "sid", "pass", block.alias("block"))
 
 
+def _keys(docs: DataFrame) -> list[Column]:
+    """Two columns that tell rows apart by all their columns."""
+    return [F.xxhash64(*[F.col(c) for c in docs.columns]).alias("__k"), *row_key()[1:]]
+
+
 def mix_plan(docs: DataFrame, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Documents with their place in their source (sid, place, size, block length, keys of the row),
     and how often each block is used (sid, block, uses)."""
     words = F.regexp_count(text_of(), F.lit(r"[^\x20\x09-\x0D]+"))
-    sizes = written(docs.select("doc_id", "source", words.cast(LONG).alias("size"), *row_key()), "mix-sizes")
+    sizes = written(docs.select("doc_id", "source", words.cast(LONG).alias("size"), *_keys(docs)), "mix-sizes")
     rows = sizes.count()
     src = written(targets(sizes), "mix-sources")
     n_src = src.count()
@@ -134,7 +143,7 @@ def mix_plan(docs: DataFrame, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     inside = Window.partitionBy("sid", "chunk").orderBy("doc_id", "__k", "size")
     placed = placed.withColumns({"rn": F.row_number().over(inside), "at": F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
     placed = placed.join(sums.select("sid", "chunk", "first"), ["sid", "chunk"]).withColumn("at", F.col("at") + F.col("first")).drop("first")
-    uses = slot_plan(src, shard_counts(src, total, seed), seed).groupBy("sid", "block").agg(F.count("*").alias("uses"))
+    uses = slot_plan(src, shard_counts(src, total, seed), total, seed).groupBy("sid", "block").agg(F.count("*").alias("uses"))
     return placed.withColumnRenamed("block", "len"), uses
 
 
@@ -164,7 +173,7 @@ def mixed_documents(docs: DataFrame, seed: int = 42) -> DataFrame:
     cuts = parts.groupBy("sid", "chunk", "rn", "__k", "__d", "size").agg(
         F.array_sort(F.collect_list(F.struct("lo", "n", "uses"))).alias("__cuts"), F.sum("n").alias("__once")
     ).select("__k", "__d", F.col("size").alias("__size"), "__cuts", "__once")
-    whole = docs.select(F.struct(*docs.columns).alias("__row"), *row_key()).groupBy("__k", "__d").agg(F.first("__row").alias("__row"))
+    whole = docs.select(F.struct(*docs.columns).alias("__row"), *_keys(docs)).groupBy("__k", "__d").agg(F.first("__row").alias("__row"))
     both = whole.join(cuts, ["__k", "__d"]).withColumn("__pieces", F.regexp_extract_all(F.col("__row.text"), F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0)))
 
     def cut(least: int) -> Column:
