@@ -19,6 +19,8 @@ from tidemark.llm._shared import WS, ascii_lower, row_key, small, text_of, writt
 
 MIN_CHARS = 40
 MIN_DOCS = 5
+#: Dropped lines (8 bytes each, and 24 a document) up to which their places are broadcast.
+PLACES = 1_000_000
 
 
 def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -41,10 +43,10 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
         .agg(F.count("*").alias("__n"), F.max("__id").alias("__keeper")).where(F.col("__n") >= min_docs).drop("__n")
     )
     hot = written(hot, "lines-hot")
-    drops = (
-        found.join(small(hot, hot.count()), ["__h1", "__h2"]).where(~F.col("__id").eqNullSafe(F.col("__keeper")))
-        .select("__k", "__d", "__pos").distinct().groupBy("__k", "__d").agg(F.collect_list("__pos").alias("__drop"))
-    )
+    dropped = found.join(small(hot, hot.count()), ["__h1", "__h2"]).where(~F.col("__id").eqNullSafe(F.col("__keeper")))
+    dropped = written(dropped.select("__k", "__d", "__pos").distinct(), "lines-dropped")
+    # few places to drop come to the texts; else both sides are dealt by document
+    drops = small(dropped.groupBy("__k", "__d").agg(F.collect_list("__pos").alias("__drop")), dropped.count(), PLACES)
     keyed = docs.select(*[c for c in docs.columns if c not in ("n_lines", "n_dropped")], *row_key())
     out = keyed.join(drops, ["__k", "__d"], "left").withColumn("__lines", lines)
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__drop")), lambda i: F.get(F.col("__lines"), i))
