@@ -75,6 +75,18 @@ def test_near_shared_boilerplate(spark):
     assert {r.doc_id: r.class_id for r in near_classes(docs).collect()} == {i: i % pairs for i in range(2 * pairs)}
 
 
+def test_near_repeated_ids(spark):
+    """Rows with one doc_id are one document: its texts join classes, and one row of a class stays."""
+    rng = random.Random(12)
+    a, b, c, d = (" ".join(words(rng, 30)) for _ in range(4))
+    rows = [(3, a), (5, a), (5, b), (7, b), (9, c), (9, c), (2, d), (2, None), (11, d + " end"), (None, b), (6, ""), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or -1, r.class_id) for r in near_classes(docs).collect())
+    assert got == sorted([(3, 3), (5, 3), (5, 3), (7, 3), (9, 9), (9, 9), (2, 2), (2, 2), (11, 2), (-1, 3), (6, 6), (8, 8)])
+    kept = [tuple(r) for r in without_copies(docs).collect()]
+    assert sorted(i for i, _ in kept) == [2, 3, 6, 8, 9] and (3, a) in kept and (9, c) in kept and set(kept) <= set(rows)
+
+
 def test_near_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert near_classes(docs).count() == 0 and without_copies(docs).count() == 0
@@ -121,6 +133,21 @@ def test_suffixes(spark, monkeypatch):
     assert suffix_report(docs.limit(0)).count() == 0
 
 
+def test_suffixes_in_a_long_text(spark):
+    """A long text that repeats itself and others, with columns that bear the operator's own names."""
+    rng = random.Random(14)
+    long = "".join(rng.choices("abcdefgh ", k=400_000))
+    texts = [long + "x" + long[5000:9000] + "é" + long[100:298], long[20_000:20_199], long[30_000:30_200], None]
+    docs = spark.createDataFrame([(i, t, 5, "s") for i, t in enumerate(texts)], "doc_id long, text string, name int, spans string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_report(docs).collect()}
+    data = [(t or "").encode() for t in texts]
+    first = data[0]
+    kept = first[:5000] + first[9000:30_000] + first[30_200 : 400_000 + 1] + first[404_001:]
+    assert got[0] == (len(first), 4000 + 200 + 4000, 3, hashlib.sha256(kept).hexdigest())
+    assert got[1] == (199, 0, 0, hashlib.sha256(data[1]).hexdigest()) and got[2] == (200, 200, 1, hashlib.sha256(b"").hexdigest())
+    assert got[3] == (0, 0, 0, hashlib.sha256(b"").hexdigest())
+
+
 def test_tiles(monkeypatch):
     data = np.frombuffer(random.Random(2).randbytes(5000), np.uint8)
     whole = suffix.samples(data)

@@ -16,9 +16,9 @@ and two documents can be similar only if they share a cell early enough in both
 a cell, hubs are tried first and then every pair of different classes. No pair of a bucket is left
 untried unless its classes are one or the filter excludes it. Identical texts are folded before.
 
-Null, empty and white-space texts are classes of their own. Rows with one doc_id share a class. A
-row with a null doc_id has the class of a document with the same words, or null; it links nothing
-itself. Columns other than doc_id and text are not read.
+Null, empty and white-space texts are classes of their own. Rows with one doc_id are one document: they
+share a class, and so do the documents that any of them is similar to. A row with a null doc_id has the class of a
+document with the same words, or null; it links nothing itself. Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._shared import ship, small, text_of, words_of, written
+from tidemark.llm._shared import lean, ship, small, text_of, words_of, written
 
 SHINGLE = 5
 SIMILAR = 0.8
@@ -41,7 +41,7 @@ ROUNDS = 2
 #: Cells are ordered by counts in so many buckets over about so many documents; any order is right, seldom first is fast.
 SKETCH, SKETCH_DOCS = 1 << 18, 50_000
 #: Words handled at once in a worker.
-PART_WORDS = 1 << 19
+PART_WORDS = 1 << 18
 
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -197,11 +197,12 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     again; a hub's cells meet its partners' by a join that Spark splits where it is skewed."""
     ends = written(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "doc_id"), "near-ends")
     texts = docs.where("doc_id is not null").join(small(ends, ends.count()), "doc_id", "left_semi")
-    sets = hashed_words(texts).mapInArrow(_celled, "node long, cells array<long>")
+    sets = hashed_words(texts).mapInArrow(lean(_celled), "node long, cells array<long>")
     with_b = pairs.join(sets.withColumnRenamed("node", "b").withColumnRenamed("cells", "cb"), "b")
     with_a = with_b.join(sets.withColumnRenamed("node", "a").withColumnRenamed("cells", "ca"), "a")
     common = F.size(F.array_intersect("ca", "cb"))
-    return with_a.withColumn("c", common).where(F.col("c") >= SIMILAR * (F.size("ca") + F.size("cb") - F.col("c"))).select("a", "b")
+    found = with_a.withColumn("c", common).where(F.col("c") >= SIMILAR * (F.size("ca") + F.size("cb") - F.col("c")))
+    return found.select("a", "b").distinct()  # a document of several rows may meet another more than once
 
 
 def with_fame(rows: DataFrame, tag: str) -> DataFrame:
@@ -264,7 +265,7 @@ class Links:
         spark = self.docs.sparkSession
         words = hashed_words(self.docs.where("doc_id is not null").join(small(nodes, many), "doc_id", "left_semi"))
         some = words.where(F.pmod(F.xxhash64("doc_id"), F.lit(many // SKETCH_DOCS + 1)) == 0)
-        counts = some.mapInArrow(_counted, "at long, held long").groupBy("at").agg(F.sum("held").alias("held")).toPandas()  # at most SKETCH
+        counts = some.mapInArrow(lean(_counted), "at long, held long").groupBy("at").agg(F.sum("held").alias("held")).toPandas()  # at most SKETCH
         sketch = np.zeros(SKETCH, np.int64)
         sketch[counts["at"].to_numpy(np.int64)] = counts["held"].to_numpy(np.int64)
         sent = spark.sparkContext.broadcast(sketch)
@@ -278,7 +279,7 @@ class Links:
                     columns = (key.view(np.int64), node[owner], counts[owner], place)
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["key", "node", "n", "pos"])
 
-        rows = with_fame(words.mapInArrow(first, "key long, node long, n long, pos long"), "near-prefixes")
+        rows = with_fame(words.mapInArrow(lean(first), "key long, node long, n long, pos long"), "near-prefixes")
         rows = written(self.mixed(rows), "near-prefixes").drop("label")
         self.by_hubs(rows)
         left = written(self.mixed(rows), "near-left").select("key", "node", "n", "pos", "label")
@@ -292,7 +293,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     hashed = hashed_words(docs).withColumns({"c1": F.xxhash64("words"), "c2": F.xxhash64(F.lit(7), F.col("words"))})
-    signed = hashed.mapInArrow(_signed, "doc_id long, c1 long, c2 long, n long, bands array<long>")
+    signed = hashed.mapInArrow(lean(_signed), "doc_id long, c1 long, c2 long, n long, bands array<long>")
     signed = written(signed, "near-signed")
     some = signed.where("n > 0")
     reps = written(some.where("doc_id is not null").groupBy("c1", "c2").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands")), "near-reps")
@@ -305,27 +306,37 @@ def near_classes(docs: DataFrame) -> DataFrame:
     if many:
         links.by_prefixes(mixed, many)
     edges, labels = links.edges, links.labels
-    named = some.select("doc_id", "c1", "c2").join(reps.select("c1", "c2", "node"), ["c1", "c2"], "left")
-    if edges is None:
+    named = written(some.select("doc_id", "c1", "c2").join(reps.select("c1", "c2", "node"), ["c1", "c2"], "left").select("doc_id", "node"), "near-named")
+    # documents of several texts hold these together
+    several = named.where("doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z")
+    held = written(named.join(several.select("doc_id", "a"), "doc_id").select("a", F.col("node").alias("b")).where("a < b").distinct(), "near-held")
+    if held.limit(1).count():
+        labels = classes(held if edges is None else edges.unionByName(held))
+    if labels is None:
         named = named.select("doc_id", F.col("node").alias("class_id"))
-        links = None
     else:
         named = named.join(labels, "node", "left").select("doc_id", F.coalesce("label", "node").alias("class_id"))
-        links = edges.join(labels, edges["a"] == labels["node"]).groupBy("label").agg(F.count("*").alias("class_links")).withColumnRenamed("label", "class_id")
-    out = named.unionByName(signed.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id")))
-    if links is None:
-        return out.withColumn("class_links", F.lit(0).cast("long"))
-    return out.join(links, "class_id", "left").select("doc_id", "class_id", F.coalesce("class_links", F.lit(0)).cast("long").alias("class_links"))
+    empty = signed.where("n = 0").select("doc_id")
+    if empty.limit(1).count():  # an empty row of a document that has other texts is in its class
+        empty = empty.join(named.where("doc_id is not null").groupBy("doc_id").agg(F.min("class_id").alias("class_id")), "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+        named = named.unionByName(empty)
+    if edges is None:
+        return named.withColumn("class_links", F.lit(0).cast("long"))
+    count = edges.distinct().join(labels, edges["a"] == labels["node"]).groupBy("label").agg(F.count("*").alias("class_links")).withColumnRenamed("label", "class_id")
+    return named.join(count, "class_id", "left").select("doc_id", "class_id", F.coalesce("class_links", F.lit(0)).cast("long").alias("class_links"))
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
-    """docs with one document of each class, that of the smallest doc_id; rows without doc_id stay if their
-    words are nowhere else."""
+    """docs with one row of each class, of the smallest doc_id (of several rows of that, the one of the smallest hash of text); rows
+    without doc_id stay if their words are nowhere else."""
     found = near_classes(docs)
     keys = written(found.where("doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("rows")), "near-kept")
-    kept = docs.join(small(keys.select("doc_id"), keys.count()), "doc_id", "left_semi").select(*docs.columns)
-    if keys.where("rows > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id"])
+    single = keys.where("rows = 1").select("doc_id")
+    kept = docs.join(small(single, keys.count()), "doc_id", "left_semi").select(*docs.columns)
+    again = keys.where("rows > 1").select("doc_id")
+    if again.limit(1).count():
+        rows = docs.join(again, "doc_id", "left_semi").select("doc_id", F.struct(*docs.columns).alias("__row"), F.struct(F.xxhash64("text"), "text").alias("__h"))
+        kept = kept.unionByName(rows.groupBy("doc_id").agg(F.min_by("__row", "__h").alias("__row")).select("__row.*"))
     if found.where("doc_id is null").limit(1).count():
         words = words_of(F.lower(text_of()))
         hashed = docs.withColumns({"__c": F.xxhash64(F.transform(words, lambda w: F.xxhash64(w))), "__e": F.size(words) == 0})
