@@ -1,15 +1,18 @@
 """Quality rules, line dedup, license scans and chat formatting against brute force."""
 
 import hashlib
+import math
+import random
 import re
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm.chat import escape, format_turns, json_fingerprint, json_turns, layout_name, read_turns, rows_to_turns, unescape, chat_report
+from tidemark.llm.chat import LAYOUTS, MAPPINGS, chat_report, escape, format_turns, read_turns, record_of, records_to_turns, rows_to_turns, through_records, unescape
 from tidemark.llm.licenses import BASE, COVER, TEMPLATES, VOCABULARY, scan_licenses
 from tidemark.llm.lines import line_dedup
+from tidemark.llm import quality
 from tidemark.llm.quality import quality_rules
 
 DOCS = "doc_id long, text string, n_lines string, score string"
@@ -45,6 +48,64 @@ def test_quality(spark, docs):
     assert empty.count() == 0
 
 
+def brute_scores(rows, labels):
+    """Score and verdict of (doc_id, text) rows, counted plainly; hashes are those of the fixed 64-bit function."""
+    import regex
+    import xxhash
+
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    def bucket(*words):
+        h = 42
+        for w in words:
+            h = xxhash.xxh64_intdigest(w.encode(), seed=h)
+        return signed(h) % quality.BUCKETS
+
+    token = regex.compile(r"[\p{L}\p{N}]+|[^\p{L}\p{N} \t\n\x0b\f\r]+")
+    grams = []
+    for _, t in rows:
+        w = token.findall(t or "")
+        grams.append([bucket(x) for x in w] + [bucket(*p) for p in zip(w, w[1:], strict=False)])
+
+    def half(i):
+        h = xxhash.xxh64_intdigest((11).to_bytes(4, "little"), seed=42)
+        return signed(xxhash.xxh64_intdigest(i.to_bytes(8, "little", signed=True), seed=h) if i is not None else h) % 2
+
+    raw, target = Counter(), (Counter(), Counter())
+    for (i, _), g in zip(rows, grams, strict=True):
+        raw.update(g)
+        if i in labels:
+            target[half(i)].update(g)
+    total = sum(raw.values()) + quality.BUCKETS
+    weight = lambda k, b: round(quality.SCALE * math.log((target[k][b] + quality.PRIOR) / ((raw[b] + 1) / total * sum(target[k].values()) + quality.PRIOR)))
+    scores = [sum(weight(1 - half(i), b) for b in g) / quality.SCALE / len(g) if g else 0.0 for (i, _), g in zip(rows, grams, strict=True)]
+    own = sorted(s for (i, t), s in zip(rows, scores, strict=True) if i in labels and len(re.findall(WS, t or "")) >= quality.MIN_WORDS)
+    if not own:
+        return scores, -math.inf
+    at = quality.QUANTILE * (len(own) - 1)
+    return scores, own[int(at)] + (at % 1) * (own[min(int(at) + 1, len(own) - 1)] - own[int(at)]) - quality.MARGIN
+
+
+def test_quality_scores(spark):
+    rng = random.Random(8)
+    good = lambda n: " ".join(rng.choice(["the", "cat", "sat", "on", "mat", f"w{rng.randint(0, 300)}", "é,"]) for _ in range(n))
+    junk = lambda n: " ".join(rng.choice(["BUY!!", "NOW!!", f"x{rng.randint(0, 300)}%%"]) for _ in range(n))
+    rows = [(i, good(rng.randint(60, 90)) if i % 4 else junk(80)) for i in range(160)] + [(None, good(70)), (1, good(60)), (500, None), (501, "a b")]
+    marks = {i: int(i % 4 > 0) for i in range(0, 160, 2)}
+    labels = spark.createDataFrame([(i, q, 0) for i, q in marks.items()] + [(None, 1, 0), (9999, 1, 0), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    scores, cut = brute_scores(rows, {i for i, q in marks.items() if q})
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = quality_rules(docs, labels).collect()
+    assert sorted((r.doc_id or -1, r.text or "", round(r.score, 9)) for r in got) == sorted((i or -1, t or "", round(s, 9)) for (i, t), s in zip(rows, scores, strict=True))
+    assert all(r.kept == (not r.base_failed and r.score >= cut) for r in got)
+    assert all(r.kept == (r.doc_id is None or r.doc_id % 4 > 0) for r in got if not r.base_failed)
+    # without labels the plain rules alone decide
+    assert all(r.score == 0 and r.kept != r.base_failed for r in quality_rules(docs, labels.limit(0)).collect())
+    # the same documents in a table four times as large: the same verdicts
+    more = [(1000 + i, good(70) if i % 4 else junk(80)) for i in range(480)]
+    wide = {(r.doc_id, r.text): r.kept for r in quality_rules(spark.createDataFrame(rows + more, "doc_id long, text string"), labels).collect()}
+    assert all(wide[r.doc_id, r.text] == r.kept for r in got)
+
+
 def test_lines(docs):
     cut = {(r.doc_id, r.text): r for r in line_dedup(docs).collect()}
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -94,27 +155,60 @@ def test_licenses_all_in_one(spark):
 
 
 def test_chat_layouts(spark):
+    two = [("user", "x"), ("assistant", "y")]
     cases = {
         '{"prompt":"a","response":"b"}': ("prompt_response", [("user", "a"), ("assistant", "b")]),
+        '{"id":7,"prompt":"a","meta":{"date":[1,{"z":null}]},"response":"b","system":"s"}': ("prompt_response", [("system", "s"), ("user", "a"), ("assistant", "b")]),
         '{"messages":[{"role":"user","content":"x"},{"role":"assistant","content":"<|end|>"}]}': ("messages", [("user", "x"), ("assistant", "<|end|>")]),
-        '{"conversations":[{"from":"human","value":"x"},{"from":"gpt","value":"y"}]}': ("shared", [("user", "x"), ("assistant", "y")]),
-        '{"instruction":"i","input":"n","output":"o"}': ("instruction_input", [("user", "i\n\nn"), ("assistant", "o")]),
+        '{"messages":[{"role":"user","content":"x","at":3},{"role":"gpt","content":"y","name":"n"}],"source":"web"}': ("messages", two),
+        '{"messages":[{"role":"user","content":[{"type":"text","text":"x"},{"text":"z"}]},{"role":"assistant","content":[{"text":"y"}]}]}': ("message_parts", [("user", "x\nz"), ("assistant", "y")]),
+        '{"conversations":[{"from":"human","value":"x"},{"from":"gpt","value":"y"}]}': ("shared", two),
+        '{"instruction":"i","input":"n","output":"o"}': ("instruction", [("user", "i\n\nn"), ("assistant", "o")]),
+        '{"instruction":"i","output":3}': ("instruction", [("user", "i"), ("assistant", "3")]),
+        '{"data":{"input":"x","output":"y","id":1},"id":2}': ("nested_pair", two),
+        '{"question":null,"answer":"\\ud800!"}': ("question_answer", [("user", ""), ("assistant", "?!")]),
+        '{"prompt":"a","response":"b","answer":"c"}': (None, []),
+        '{"messages":[]}': (None, []),
         '{"z":1}': (None, []),
+        "[1]": (None, []),
         "no json": (None, []),
+        "": (None, []),
+        "[" * 100_000: (None, []),
     }
-    rows = spark.createDataFrame([(k,) for k in cases] + [(None,)], "j string").select("j", layout_name(json_fingerprint(F.col("j"))).alias("l"), json_turns(F.col("j")).alias("t"))
-    rows = rows.withColumn("b", read_turns(format_turns(F.col("t"))))
-    for r in rows.collect():
-        assert (r.l, [tuple(x) for x in r.t]) == cases.get(r.j, (None, []))
-        assert r.b == r.t
+    records = spark.createDataFrame([*enumerate(cases), (-1, None)], "conv_id long, record string")
+    found = {r.conv_id: r for r in records_to_turns(records).withColumn("back", read_turns(format_turns(F.col("turns")))).collect()}
+    for i, expected in enumerate(cases.values()):
+        assert (found[i].layout, [tuple(x) for x in found[i].turns]) == expected
+        assert found[i].back == found[i].turns
+    assert (found[-1].layout, found[-1].turns) == (None, [])
+    assert len(MAPPINGS) == sum(len(x.keys) for x in LAYOUTS)  # no fingerprint selects two
+
+
+def test_chat_records(spark):
+    """Every conversation comes back from its record, whatever its roles and texts; several layouts are met."""
+    rng, parts = random.Random(6), ["<|turn|>\\", "</s>[INST]", "\x00", "é😀", "\n\n", "\\n", '"', "", "system", "a  b"]
+    rows = []
+    for conv in range(120):
+        roles = rng.choice([["user", "assistant"], ["system", "user", "assistant"], ["user", "assistant", "user", "assistant"], ["Human", "gpt"], ["tool", "user\nx\\n", ""], ["user"]])
+        rows += [(conv, i, r, rng.choice([None, "".join(rng.choices(parts, k=rng.randint(0, 4)))])) for i, r in enumerate(roles)]
+    rows += [(None, 0, "user", "x"), (None, 1, None, None), (500, None, "user", "x" * 300_000)]
+    table = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, layout string")
+    expected = {}
+    for c, _, r, t in rows:
+        expected.setdefault(c, []).append((r or "", t or ""))
+    got = through_records(table).withColumn("back", read_turns(format_turns(F.col("turns")))).collect()
+    assert {r.conv_id: [tuple(t) for t in r.turns] for r in got} == expected and all(r.back == r.turns for r in got)
+    records = rows_to_turns(table.drop("layout")).withColumn("record", record_of(F.col("turns"), F.col("conv_id")))
+    layouts = Counter(r.layout for r in records_to_turns(records).collect())
+    assert set(layouts) == {"prompt_response", "question_answer", "messages", "shared", "message_parts", None}
 
 
 def test_chat_rows(spark):
     said = ["<|turn|>\\", "</s>[INST] ok [/INST]", "", None, "a\nb<|", "\\<|end|>\\\\"]
-    rows = spark.createDataFrame([(i // 3, None if i == 4 else 2 - i % 3, "assistant" if i % 2 else "user", t) for i, t in enumerate(said)], "conv_id long, turn long, role string, text string")
+    rows = spark.createDataFrame([(i // 3, None if i == 4 else 2 - i % 3, "assistant" if i % 2 else "us\ner", t) for i, t in enumerate(said)], "conv_id long, turn long, role string, text string")
     texts = spark.createDataFrame([(t or "",) for t in said], "t string")
     assert texts.where(unescape(escape(F.col("t"))) != F.col("t")).count() == 0
-    got = {r.conv_id: r for r in chat_report(rows_to_turns(rows)).collect()}
+    got = {r.conv_id: r for r in chat_report(through_records(rows)).collect()}
     for conv in (0, 1):
         own = sorted(((r.turn is None, r.turn or 0, r.role, r.text or "") for r in rows.collect() if r.conv_id == conv))
         turns = [(x[2], x[3]) for x in own]
@@ -123,6 +217,6 @@ def test_chat_rows(spark):
         assert (r.n_turns, r.loss_chars) == (3, len(loss))
         assert r.turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode()).hexdigest()
         assert r.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
-    assert chat_report(rows_to_turns(rows.limit(0))).count() == 0
+    assert chat_report(through_records(rows.limit(0))).count() == 0
     with pytest.raises(ValueError):
         rows_to_turns(rows.drop("role"))

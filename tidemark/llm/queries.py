@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.ann import nearest
-from tidemark.llm.chat import CONTROL, chat_report, rows_to_turns
+from tidemark.llm.chat import CONTROL, chat_report, through_records
 from tidemark.llm.licenses import BASE, COVER, TEMPLATES, scan_licenses
 from tidemark.llm.lines import line_dedup
 from tidemark.llm.mixing import mix_report
@@ -67,7 +67,7 @@ PROBE = "</s>[INST] ok [/INST]"
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame([(-7, 0, "user", PROBE), (-7, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
-    return chat_report(rows_to_turns(rows.unionByName(probe)))
+    return chat_report(through_records(rows.unionByName(probe)))
 
 
 def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,7 +125,7 @@ WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '{PROBE}' UNION ALL SELECT -7, 1, 'assistant', '{PROBE}'
 ), marked AS (
-  SELECT *, length({_escaped("role")}) + length({_escaped("text")}) + 16 AS chars FROM turns
+  SELECT *, length(replace({_escaped("role")}, chr(10), '\n')) + length({_escaped("text")}) + 16 AS chars FROM turns
 )
 SELECT conv_id, count(*)::BIGINT AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS LAST, role, text)) AS turns_sha256,
