@@ -1,6 +1,7 @@
 """Approximate nearest neighbours by inner product, over robust-pruned directed graphs.
 
-Vectors are folded to distinct ones and dealt by hash to shards of bounded size. Each shard is one
+Vectors are folded to distinct ones and dealt by hash to shards: to FEW_SHARDS of them, of SHARD vectors at least and LARGE at most,
+and beyond that to as many as there must be, so that searches, which visit each shard, stay few. Each shard is one
 graph, built in memory: points are inserted in growing batches; a greedy beam search proposes a
 point's neighbours, and pruning keeps the nearest and drops those that a kept one is nearer to by
 the factor ALPHA; reverse edges are pruned alike. One added coordinate makes all vectors of a shard
@@ -23,13 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm._shared import ship, small, written
+from tidemark.llm._shared import lean, ship, small, written
 
 QUERY_EVERY, NEAREST = 20, 20
-#: Distinct vectors in a shard and queries in a block, at most about so many.
-SHARD, BLOCK = 8192, 4096
+#: Distinct vectors in a shard, about, at least and at most; shards that are made before they grow; queries in a block.
+SHARD, LARGE, FEW_SHARDS, BLOCK = 8192, 16384, 8, 8192
+#: Distinct vectors and queries that a task folds before it hands them on.
+FOLD = 50_000
 #: Beams: of a query, and of a point that is inserted.
-DEGREE, BEAM, BUILD_BEAM, ALPHA, EXPAND = 32, 320, 96, 1.2, 4
+DEGREE, BEAM, BUILD_BEAM, ALPHA, EXPAND = 32, 512, 96, 1.2, 4
 #: A shard's longest vectors, which every query tries beside its beam.
 LONGEST = 512
 #: Points linked exhaustively before insertion begins.
@@ -182,9 +185,18 @@ def exact(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray) -> np.ndarr
 
 
 def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct vectors of a task, as bytes of doubles, with their smallest ids and whether one is a query."""
+    """Distinct vectors, as bytes of doubles, with their smallest ids, and the queries; a task hands on FOLD at a time."""
     held: dict[bytes, set[int]] = {}
     queries: list[tuple[int, bytes]] = []
+
+    def out() -> pa.RecordBatch:
+        columns = [
+            pa.array([None] * len(held) + [q for q, _ in queries], pa.int64()), pa.array([*held, *(k for _, k in queries)], pa.binary()),
+            pa.array([sorted(s)[: NEAREST + 1] for s in held.values()] + [None] * len(queries), pa.list_(pa.int64())),
+        ]
+        held.clear(), queries.clear()
+        return pa.RecordBatch.from_arrays(columns, ["query_id", "vec", "ids"])
+
     for batch in batches:
         lists = batch.column("embedding")
         values, offsets, known = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy(), lists.is_valid().to_numpy(zero_copy_only=False)
@@ -199,10 +211,9 @@ def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held[key] = set(sorted(ids)[: NEAREST + 1])
             if vec_id % QUERY_EVERY == 0:
                 queries.append((vec_id, key))
-    yield pa.RecordBatch.from_arrays(
-        [pa.array([None] * len(held) + [q for q, _ in queries], pa.int64()), pa.array([*held, *(k for _, k in queries)], pa.binary()), pa.array([sorted(s)[: NEAREST + 1] for s in held.values()] + [None] * len(queries), pa.list_(pa.int64()))],
-        ["query_id", "vec", "ids"],
-    )
+            if len(held) + len(queries) >= FOLD:
+                yield out()
+    yield out()
 
 
 def _build_shard(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -253,21 +264,24 @@ def nearest(embeddings: DataFrame) -> DataFrame:
     """Per query its nearest: query_id, rank (from 1), vec_id, score."""
     ship(embeddings.sparkSession)
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    folded = rows.mapInArrow(_folded, "query_id long, vec binary, ids array<long>")
+    folded = rows.mapInArrow(lean(_folded), "query_id long, vec binary, ids array<long>")
     hashed = folded.withColumns({"h1": F.xxhash64("vec"), "h2": F.xxhash64(F.lit(7), "vec"), "dim": (F.length("vec") / 8).cast("int")})
     hashed = written(hashed, "ann-folded")
     merged = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, NEAREST + 1)  # a list for each task and vector
     points = written(hashed.where("query_id is null").groupBy("dim", "h1", "h2", "vec").agg(merged.alias("ids")), "ann-points")
-    shards = points.count() // SHARD + 1
+    n = points.count()
+    shards = max(min(n // SHARD + 1, FEW_SHARDS), n // LARGE + 1)
     queries = hashed.where("query_id is not null").select("query_id", "h1", "h2", "dim", "vec")
     asked = written(queries.dropDuplicates(["h1", "h2"]).drop("query_id"), "ann-asked")
     blocks = asked.count() // BLOCK + 1
-    index = points.withColumn("shard", F.pmod("h1", F.lit(shards))).select("dim", "shard", "vec", "ids").groupBy("dim", "shard")
+    # counts of partitions are given, so that shards aren't put together in few tasks
+    index = points.withColumn("shard", F.pmod("h1", F.lit(shards))).select("dim", "shard", "vec", "ids").repartition(4 * shards, "dim", "shard").groupBy("dim", "shard")
     index = written(index.applyInPandas(_build_shard, "dim int, shard long, n int, entry int, vectors binary, graph binary, sizes binary, ids binary"), "ann-index")
     left = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     right = asked.withColumn("block", F.pmod("h2", F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-    keys = ["dim", "shard", "block"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_search_shard, "h1 long, h2 long, vec_id long, score double")
+    keys, tasks = ["dim", "shard", "block"], 4 * shards * blocks
+    left, right = (x.repartition(tasks, *keys).groupBy(*keys) for x in (left, right))
+    found = left.cogroup(right).applyInPandas(_search_shard, "h1 long, h2 long, vec_id long, score double")
     best = Window.partitionBy("h1", "h2").orderBy(F.desc("score"), "vec_id")
     found = written(found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= NEAREST + 1).drop("r"), "ann-found")
     each = queries.select("query_id", "h1", "h2").distinct()
