@@ -265,9 +265,9 @@ class Links:
         spark = self.docs.sparkSession
         words = hashed_words(self.docs.where("doc_id is not null").join(small(nodes, many), "doc_id", "left_semi"))
         some = words.where(F.pmod(F.xxhash64("doc_id"), F.lit(many // SKETCH_DOCS + 1)) == 0)
-        counts = some.mapInArrow(lean(_counted), "at long, held long").groupBy("at").agg(F.sum("held").alias("held")).toPandas()  # at most SKETCH
+        counts = some.mapInArrow(lean(_counted), "at long, held long").groupBy("at").agg(F.sum("held").alias("held")).toArrow()  # at most SKETCH
         sketch = np.zeros(SKETCH, np.int64)
-        sketch[counts["at"].to_numpy(np.int64)] = counts["held"].to_numpy(np.int64)
+        sketch[counts.column("at").to_numpy()] = counts.column("held").to_numpy()
         sent = spark.sparkContext.broadcast(sketch)
 
         def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
