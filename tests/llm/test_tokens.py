@@ -223,7 +223,8 @@ def test_graph_recall():
 @pytest.mark.parametrize("kind", ["outlier", "clusters", "unequal"])
 def test_nearest_recall(spark, monkeypatch, kind):
     """Through nearest(), in several shards, also with a vector 10^4 times longer than the others."""
-    monkeypatch.setattr(ann, "SHARD", 700)
+    monkeypatch.setattr(ann, "LARGE", 700)
+    monkeypatch.setattr(ann, "SHARDS", 2)
     rng = np.random.default_rng(5)
     v = rng.normal(size=(2000, 32))
     if kind == "clusters":

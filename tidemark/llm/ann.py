@@ -1,7 +1,7 @@
 """Approximate nearest neighbours by inner product, over robust-pruned directed graphs.
 
-Vectors are folded to distinct ones and dealt by hash to shards: to FEW_SHARDS of them, of SHARD vectors at least and LARGE at most,
-and beyond that to as many as there must be, so that searches, which visit each shard, stay few. Each shard is one
+Vectors are folded to distinct ones and dealt by hash to SHARDS shards, or more where one
+would hold over LARGE: every search visits each shard, so their number stays as it is while they can grow. Each shard is one
 graph, built in memory: points are inserted in growing batches; a greedy beam search proposes a
 point's neighbours, and pruning keeps the nearest and drops those that a kept one is nearer to by
 the factor ALPHA; reverse edges are pruned alike. One added coordinate makes all vectors of a shard
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from tidemark.llm._shared import lean, ship, small, written
 
 QUERY_EVERY, NEAREST = 20, 20
-#: Distinct vectors in a shard, about, at least and at most; shards that are made before they grow; queries in a block.
-SHARD, LARGE, FEW_SHARDS, BLOCK = 8192, 16384, 8, 8192
+#: Shards at least, distinct vectors in a shard, about, at most; queries in a block.
+SHARDS, LARGE, BLOCK = 8, 16384, 8192
 #: Distinct vectors and queries that a task folds before it hands them on.
 FOLD = 50_000
 #: Beams: of a query, and of a point that is inserted.
@@ -270,7 +270,7 @@ def nearest(embeddings: DataFrame) -> DataFrame:
     merged = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, NEAREST + 1)  # a list for each task and vector
     points = written(hashed.where("query_id is null").groupBy("dim", "h1", "h2", "vec").agg(merged.alias("ids")), "ann-points")
     n = points.count()
-    shards = max(min(n // SHARD + 1, FEW_SHARDS), n // LARGE + 1)
+    shards = max(SHARDS, n // LARGE + 1)
     queries = hashed.where("query_id is not null").select("query_id", "h1", "h2", "dim", "vec")
     asked = written(queries.dropDuplicates(["h1", "h2"]).drop("query_id"), "ann-asked")
     blocks = asked.count() // BLOCK + 1
