@@ -106,6 +106,26 @@ def test_quality_scores(spark):
     assert all(wide[r.doc_id, r.text] == r.kept for r in got)
 
 
+def test_quality_whole_target(spark):
+    """Every document labelled good is counted and bears on the cut, however many labels there are."""
+    rng, many = random.Random(15), 240_000
+    text = lambda kind: " ".join(f"{kind}{rng.randint(0, 40)}" for _ in range(60))
+    rows = [(i * 1000, text("a" if i % 3 else "b")) for i in range(240)] + [(-i, text("b")) for i in range(1, 60)]
+    labels = spark.range(many).selectExpr("id as doc_id", "1 as quality", "0 as toxic")
+    scores, cut = brute_scores(rows, set(range(0, many, 1000)))
+    got = {r.doc_id: r for r in quality_rules(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()}
+    assert {i: round(got[i].score, 9) for i, _ in rows} == {i: round(s, 9) for (i, _), s in zip(rows, scores, strict=True)}
+    assert all(got[i].kept == (not got[i].base_failed and s >= cut) for (i, _), s in zip(rows, scores, strict=True))
+
+
+def test_quantile(spark):
+    rng = random.Random(16)
+    for values in ([], [0.25], [1.0, -8.0], [rng.gauss(0, 0.5) for _ in range(3000)], [rng.choice([-0.1, 0.0, 3.5]) for _ in range(500)]):
+        scores = spark.createDataFrame([(v,) for v in values], "score double")
+        for q in (0.0, 0.005, 0.3, 1.0):
+            assert quality.quantile(scores, q) == scores.agg(F.percentile("score", F.lit(q))).first()[0]
+
+
 def test_lines(docs):
     cut = {(r.doc_id, r.text): r for r in line_dedup(docs).collect()}
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -1,7 +1,7 @@
 """Quality rules: plain rules, and a hashed n-gram likelihood ratio.
 
 Multinomials over hashed n-grams (one and two tokens) are counted: one over every document, and one
-over each half of a trusted target, the documents labelled good. A document's score is its mean log
+over each half of a trusted target, all documents labelled good. A document's score is its mean log
 ratio, target over raw, over its n-grams. It is scored with the half of the target that it isn't in (halves by hashed
 id), so no document's own counts speak for it. A bucket's ratio is (target + PRIOR) / (expected + PRIOR), where
 expected is what the raw distribution lets the target have: buckets that can't be judged yet count for nothing, and more
@@ -17,14 +17,15 @@ Columns of the input that bear a result's name are replaced by it.
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._shared import WS, let, text_of, words_of, written
+from tidemark.llm._shared import WS, let, small, text_of, words_of, written
 
 BUCKETS = 1 << 16
-#: Labelled documents that the target is counted from, and the cut taken from: the first by hashed id.
-TARGET_DOCS = 20_000
 #: Counts that a bucket's ratio is drawn to 1 with.
 PRIOR = 4.0
 #: The cut: this quantile of the target's scores, less a margin in nats per n-gram; of texts with MIN_WORDS words.
@@ -98,14 +99,17 @@ def half_of(doc_id: Column) -> Column:
 
 
 def target_ids(labels: DataFrame) -> DataFrame:
+    """(__id, __t): every document labelled good and its half."""
     good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("__id")).distinct()
-    return F.broadcast(good.orderBy(F.xxhash64("__id"), "__id").limit(TARGET_DOCS).withColumn("__t", half_of(F.col("__id"))))
+    good = written(good.withColumn("__t", half_of(F.col("__id"))), "quality-target")
+    return small(good, good.count())
 
 
 def ngram_weights(docs: DataFrame, target: DataFrame) -> DataFrame:
     """(__half, __table): for each half of the target each bucket's log ratio in units of 1/SCALE nats, two rows of BUCKETS numbers
     whatever the input. One pass over all documents, in which a task sends at most BUCKETS sums."""
-    tokens = docs.select(F.col("doc_id").alias("__id"), tokens_of(text_of()).alias("__w")).join(target, "__id", "left")
+    marked = docs.select(F.col("doc_id").alias("__id"), text_of().alias("__x")).join(target, "__id", "left")
+    tokens = marked.select("__t", tokens_of(F.col("__x")).alias("__w"))
     pairs = tokens.select("__t", F.inline(F.arrays_zip(F.col("__w").alias("a"), F.expr("slice(__w, 2, size(__w))").alias("b"))))
     both = F.when(F.col("b").isNull(), F.array(bucket(F.col("a")))).otherwise(F.array(bucket(F.col("a")), bucket(F.col("a"), F.col("b"))))
     counts = (
@@ -143,10 +147,27 @@ def score_of(text: Column, table: Column) -> Column:
     return let(tokens_of(text), mean)
 
 
+def quantile(scores: DataFrame, q: float) -> float | None:
+    """The exact quantile of scores, interpolated between neighbours; None of none. A histogram of at most 2 * MOST + 1
+    cells finds the cells of the neighbours, and only these cells' values are looked at one by one."""
+    cell = F.floor(F.col("score") * SCALE)
+    counts = scores.groupBy(cell.alias("cell")).agg(F.count("*").alias("held")).orderBy("cell").toArrow()
+    cells, ends = counts.column("cell").to_numpy(), np.cumsum(counts.column("held").to_numpy())
+    if not len(cells):
+        return None
+    at = q * (int(ends[-1]) - 1)
+    ranks = math.floor(at), math.ceil(at)
+    first, last = (int(x) for x in np.searchsorted(ends, ranks, side="right"))
+    near = scores.where(cell.isin([int(cells[first]), int(cells[last])])).groupBy("score").agg(F.count("*").alias("held")).orderBy("score").toArrow()
+    upto = np.cumsum(near.column("held").to_numpy()) + (int(ends[first - 1]) if first else 0)
+    low, high = (float(near.column("score")[int(x)].as_py()) for x in np.searchsorted(upto, ranks, side="right"))
+    return low if low == high else (ranks[1] - at) * low + (at - ranks[0]) * high
+
+
 def cut_of(docs: DataFrame, target: DataFrame, weights: DataFrame) -> float:
     """The score that documents must reach."""
     own = docs.select("doc_id", text_of().alias("__x")).join(target.withColumnRenamed("__id", "doc_id"), "doc_id", "left_semi").where(F.size(words_of(F.col("__x"))) >= MIN_WORDS)
-    found = scored(own, weights).select(score_of(F.col("__x"), F.col("__table")).alias("score")).agg(F.percentile("score", F.lit(QUANTILE))).first()[0]
+    found = quantile(written(scored(own, weights).select(score_of(F.col("__x"), F.col("__table")).alias("score")), "quality-scores"), QUANTILE)
     return float("-inf") if found is None else found - MARGIN
 
 
