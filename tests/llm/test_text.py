@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.chat import LAYOUTS, MAPPINGS, chat_report, escape, format_turns, read_turns, record_of, records_to_turns, rows_to_turns, through_records, unescape
 from tidemark.llm.licenses import BASE, COVER, TEMPLATES, VOCABULARY, scan_licenses
 from tidemark.llm.lines import line_dedup
-from tidemark.llm import quality
+from tidemark.llm import licenses, quality
 from tidemark.llm.quality import quality_rules
 
 DOCS = "doc_id long, text string, n_lines string, score string"
@@ -174,6 +174,17 @@ def test_licenses_all_in_one(spark):
     assert got[1] == got[2] == expected and got[3] == ""
 
 
+def test_licenses_frequencies(spark, monkeypatch):
+    """Words are counted over all documents, also those that hold no word worth a look."""
+    texts = ["the MIT license", "use free copy; a copy", "Free software version 2", "version 2", None, "the apache license version 2"]
+    seen, found = [], licenses.found_labels
+    monkeypatch.setattr(licenses, "found_labels", lambda words, rarity: seen.append(rarity) or found(words, rarity))
+    rows = scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    sets = [set(re.findall("[a-z0-9]+", (t or "").lower())) for t in texts]
+    assert seen == [[round(1000 * math.log((1 + len(texts)) / (1 + sum(w in x for x in sets)))) for w in VOCABULARY]]
+    assert {r.doc_id: r.labels for r in rows} == {0: "mit", 1: "", 2: "", 3: "", 4: "", 5: "apache-2.0"}
+
+
 def test_chat_layouts(spark):
     two = [("user", "x"), ("assistant", "y")]
     cases = {

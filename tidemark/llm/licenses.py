@@ -153,10 +153,11 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     words = docs.select("doc_id", license_words(text_of()).alias("w"))
     worth = F.arrays_overlap("w", strings(STRONG))
-    kept = written(words.select("doc_id", F.size("w").cast("long").alias("n_words"), F.when(worth, F.col("w")).alias("w")), "license-words")
+    known = F.array_intersect("w", strings(VOCABULARY)).alias("known")  # of every document: frequencies are those of all
+    kept = written(words.select("doc_id", F.size("w").cast("long").alias("n_words"), F.when(worth, F.col("w")).alias("w"), known), "license-words")
     total = kept.count()
-    some = kept.where("w is not null").select(F.explode(F.array_intersect("w", strings(VOCABULARY))).alias("word"))
-    held = {r["word"]: r["n"] for r in some.groupBy("word").agg(F.count("*").alias("n")).collect()}  # at most the vocabulary
+    each = kept.select(F.explode("known").alias("word"))
+    held = {r["word"]: r["n"] for r in each.groupBy("word").agg(F.count("*").alias("n")).collect()}  # at most the vocabulary
     rarity = [round(1000 * math.log((1 + total) / (1 + held.get(w, 0)))) for w in VOCABULARY]
     base = F.when(F.col("w").isNull(), F.array().cast("array<struct<start:bigint,label:string>>")).otherwise(base_places(F.col("w")))
     more = F.when(F.col("w").isNull(), F.array().cast("array<struct<label:string,share:double>>")).otherwise(found_labels(F.col("w"), rarity))
