@@ -6,7 +6,7 @@ from collections import Counter
 
 import numpy as np
 
-from tidemark.llm import suffix
+from tidemark.llm import near, suffix
 from tidemark.llm.near import dart_signatures, near_classes, without_copies
 from tidemark.llm.suffix import suffix_report
 
@@ -75,6 +75,20 @@ def test_near_shared_boilerplate(spark):
     assert {r.doc_id: r.class_id for r in near_classes(docs).collect()} == {i: i % pairs for i in range(2 * pairs)}
 
 
+def test_near_counts_every_document(spark, monkeypatch):
+    """The prefix filter's order comes from the cells of all documents that it filters."""
+    rng = random.Random(17)
+    texts = [" ".join(words(rng, 9)) for _ in range(60_000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    sent, context = [], type(spark.sparkContext)
+    broadcast = context.broadcast
+    monkeypatch.setattr(context, "broadcast", lambda self, value: sent.append(value) or broadcast(self, value))
+    links = near.Links(docs)
+    links.by_prefixes(docs.select("doc_id"), len(texts))
+    counted = [x for x in sent if isinstance(x, np.ndarray)]
+    assert [int(x.sum()) for x in counted] == [5 * len(texts)] and links.edges is None
+
+
 def test_near_repeated_ids(spark):
     """Rows with one doc_id are one document: its texts join classes, and one row of a class stays."""
     rng = random.Random(12)

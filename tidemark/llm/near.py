@@ -38,8 +38,8 @@ BANDS, ROWS = 24, 4
 COORDINATES = BANDS * ROWS
 #: Rounds of hubs, before all that is left is tried.
 ROUNDS = 2
-#: Cells are ordered by counts in so many buckets over about so many documents; any order is right, seldom first is fast.
-SKETCH, SKETCH_DOCS = 1 << 18, 50_000
+#: Cells are ordered by counts in so many buckets over all documents to be filtered; any order is right, seldom first is fast.
+SKETCH = 1 << 18
 #: Words handled at once in a worker.
 PART_WORDS = 1 << 18
 
@@ -264,8 +264,7 @@ class Links:
         """Tries all pairs of nodes of different classes that can be similar."""
         spark = self.docs.sparkSession
         words = hashed_words(self.docs.where("doc_id is not null").join(small(nodes, many), "doc_id", "left_semi"))
-        some = words.where(F.pmod(F.xxhash64("doc_id"), F.lit(many // SKETCH_DOCS + 1)) == 0)
-        counts = some.mapInArrow(lean(_counted), "at long, held long").groupBy("at").agg(F.sum("held").alias("held")).toArrow()  # at most SKETCH
+        counts = words.mapInArrow(lean(_counted), "at long, held long").groupBy("at").agg(F.sum("held").alias("held")).toArrow()  # at most SKETCH
         sketch = np.zeros(SKETCH, np.int64)
         sketch[counts.column("at").to_numpy()] = counts.column("held").to_numpy()
         sent = spark.sparkContext.broadcast(sketch)
