@@ -35,6 +35,31 @@ def test_encoder(ids):
     assert [x.tolist() for x in ChunkEncoder(tokenizer_path())([t for _, t in TEXTS])] == [x.tolist() for _, x in ids]
 
 
+def test_pieces_looked_up_often_are_kept(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokens, "KEEP", 64)
+    monkeypatch.setattr(tokens, "PART_BYTES", 1)
+    encode, given = ChunkEncoder(tokenizer_path()), Counter()
+    learn = encode.piece_ids
+    monkeypatch.setattr(encode, "piece_ids", lambda pieces: given.update(pieces) or learn(pieces))
+    often = "Often used é words, don't forget 7 of them Σß x\xa0y "
+    rare = [" ".join(f"rare{a}{b}{'!' * (i % 3)}" for i, b in enumerate("abcdefghijkl")) for a in "abcdefghijkl"]
+    texts = [t for r in rare for t in (often, r)]
+    library = Tokenizer.from_file(tokenizer_path())
+    assert [x.tolist() for x in encode(texts)] == [[*library.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    assert {p: given[p] for p in ("often", "used", "words", "don", "'t", "7", "é")} == dict.fromkeys(("often", "used", "words", "don", "'t", "7", "é"), 1)
+
+
+def test_kept_strings_are_bounded_in_bytes(monkeypatch):
+    monkeypatch.setattr(tokens, "KEEP_BYTES", 1 << 12)
+    monkeypatch.setattr(tokens, "PART_BYTES", 1)
+    encode = ChunkEncoder(tokenizer_path())
+    texts = [c * 700 for c in "abcdefghijklmnopqrstαβγδεζηθικλμ"]
+    assert len(list(encode(texts))) == len(texts)
+    assert max(encode.pieces.strings.nbytes, encode.others.strings.nbytes) <= 1 << 12
+
+
 def test_token_files(docs, ids):
     rows = sorted((r.start, r.n_tokens, -1 if r.doc_id is None else r.doc_id, r.ids_crc32) for r in token_report(docs, tokenizer_path()).collect())
     assert Counter((i, n, c) for _, n, i, c in rows) == Counter((-1 if i is None else i, len(x), zlib.crc32(x)) for i, x in ids)

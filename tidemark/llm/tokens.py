@@ -3,7 +3,7 @@
 Ids: the tokenizer drops white space and never joins text across it, so a text's ids are those
 of its white-space-separated chunks one after another. A part of a batch is split and its distinct chunks
 found by Arrow; the ids of new ones come from the tokenizers library, and each worker keeps a bounded number of them. Chunks of
-ASCII and Latin-1 letters are split into pieces first, and distinct pieces given to the library's
+ASCII and Latin-1 letters are split into pieces first (one of letters only is a piece), and distinct pieces given to the library's
 model; all others go through its whole tokenizer, as do whole texts with a tokenizer of other steps. Special-token strings inside a
 text are what the library makes of them.
 
@@ -29,7 +29,6 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -46,14 +45,16 @@ TRAIN_LEAST = 64
 #: A pack is closed when its frames reach so many bytes.
 PACK_BYTES = 1 << 20
 LEVEL = 3
-#: Pieces, and chunks of other letters, whose ids a worker keeps: about 25 MB. Pieces given to the library in one string.
-KEEP, AT_ONCE = 1 << 17, 100
+#: Pieces, and chunks of other letters, whose ids a worker keeps, and their bytes. Pieces given to the library in one string.
+KEEP, KEEP_BYTES, AT_ONCE = 1 << 18, 8 << 20, 100
 #: Bytes of texts encoded at once.
-PART_BYTES = 2 << 20
+PART_BYTES = 4 << 20
 
 #: Chunks that the tokenizer's own steps (compose, lower-case, split, bytes as characters) leave simple: ASCII and the
 #: letters of Latin-1, whose composed forms and lower case are their own. Others go through the whole tokenizer.
 PLAIN = "^[!-~À-ÖØ-öø-ÿ]*$"
+#: Such chunks that are one piece.
+LETTERS = "^[A-Za-zÀ-ÖØ-öø-ÿ]*$"
 #: The tokenizer's split on such chunks in lower case.
 PIECE = "('s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+)"
 #: The steps of a tokenizer file for which the above holds, fixed values. With any other file, texts are given whole to the library.
@@ -86,38 +87,56 @@ def gathered(pool: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.nda
     return pool[at]
 
 
+def listed(strings: pa.Array) -> list[str]:
+    """An array's strings; to_pylist takes several times as long."""
+    return strings.to_numpy(zero_copy_only=False).tolist()
+
+
 class Store:
-    """Ids by string. Entry 0, of the empty string, has none."""
+    """Ids by string, looked up by Arrow. Entry 0, of the empty string, has none."""
 
     def __init__(self):
-        self.entry: dict[str, int] = {"": 0}
+        self.strings = pa.array([""], pa.string())
         self.starts, self.counts = np.zeros(1, np.int64), np.zeros(1, np.int64)
         self.pool = np.zeros(0, np.uint32)
+        self.seen = np.zeros(1, np.int64)
+
+    def shrink(self, needed: np.ndarray, room: int) -> None:
+        """Keeps these entries, that of the empty string, and of the others those looked up most often, as far as there is room."""
+        import pyarrow.compute as pc
 
-    def shrink(self, strings: list[str]) -> None:
-        """Keeps these strings only, and the empty one."""
-        strings = ["", *(s for s in strings if s)]
-        kept = np.array([self.entry[s] for s in strings])
+        free = np.ones(len(self.seen), bool)
+        free[0], free[needed] = False, False
+        others = np.flatnonzero(free)
+        others = others[np.argsort(-self.seen[others], kind="stable")[: max(0, room - len(needed))]]
+        sizes = pc.binary_length(self.strings).to_numpy()
+        others = others[np.cumsum(sizes[others]) <= KEEP_BYTES // 2 - sizes[needed].sum()]
+        kept = np.r_[0, needed[needed > 0], others]
         self.pool, self.counts = self.ids(kept)
+        self.seen = self.seen[kept] // 2
         self.starts = np.cumsum(self.counts) - self.counts
-        self.entry = dict(zip(strings, range(len(strings)), strict=True))
+        self.strings = self.strings.take(pa.array(kept))
 
-    def entries(self, strings: list[str], learn) -> np.ndarray:
+    def entries(self, strings: pa.Array, learn) -> np.ndarray:
         """Entries of different strings; learn(new strings) gives the ids of those not held, flat, and their counts."""
-        look = lambda: np.fromiter(map(self.entry.get, strings, repeat(-1)), np.int64, len(strings))
+        import pyarrow.compute as pc
+
+        look = lambda: pc.fill_null(pc.index_in(strings, value_set=self.strings), -1).to_numpy(zero_copy_only=False).astype(np.int64)
         found = look()
-        missing = np.flatnonzero(found < 0)
-        if len(missing):
-            if len(self.entry) + len(missing) > KEEP:
-                self.shrink([strings[i] for i in np.flatnonzero(found >= 0).tolist()])
+        missing = found < 0
+        if missing.any():
+            new = strings.filter(pa.array(missing))
+            if len(self.strings) + len(new) > KEEP or self.strings.nbytes + new.nbytes > KEEP_BYTES:
+                self.shrink(found[~missing], KEEP // 2 - len(new))
                 found = look()
-            new = [strings[i] for i in missing.tolist()]
-            flat, counts = learn(new)
+            flat, counts = learn(listed(new))
             found[missing] = np.arange(len(self.starts), len(self.starts) + len(new))
-            self.entry.update(zip(new, found[missing].tolist(), strict=True))
+            self.strings = pa.concat_arrays([self.strings, new])
             self.starts = np.r_[self.starts, len(self.pool) + np.cumsum(counts) - counts]
             self.counts = np.r_[self.counts, counts]
             self.pool = np.r_[self.pool, flat]
+            self.seen = np.r_[self.seen, np.zeros(len(new), np.int64)]
+        self.seen[found] += 1
         return found
 
     def ids(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -163,31 +182,34 @@ class ChunkEncoder:
         found = [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         return np.concatenate([np.zeros(0, np.uint32), *found]), np.array([len(x) for x in found], np.int64)
 
-    def plain_ids(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def plain_entries(self, words: pa.Array, mixed: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Entries of the pieces of plain chunks: of words, a piece each; of the pieces of mixed ones, flat, and their numbers."""
         import pyarrow.compute as pc
 
-        split = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(chunks), PIECE, r"\1 "))
-        coded = split.flatten().dictionary_encode()
-        entries = self.pieces.entries(coded.dictionary.to_pylist(), self.piece_ids)
-        flat, counts = self.pieces.ids(entries[coded.indices.to_numpy()])
-        ends = np.r_[0, np.cumsum(counts)][np.cumsum(split.value_lengths().to_numpy())]
-        return flat, np.diff(ends, prepend=0)
+        split = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(mixed), PIECE, r"\1 "))
+        coded = pa.concat_arrays([pc.utf8_lower(words), split.flatten()]).dictionary_encode()
+        entries = self.pieces.entries(coded.dictionary, self.piece_ids)[coded.indices.to_numpy()]
+        return entries[: len(words)], entries[len(words) :], split.value_lengths().to_numpy()
 
-    def chunk_ids(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of different chunks, flat, and their counts."""
+    def chunk_ids(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of different chunks: a pool of ids, and where each chunk's begin in it, and their counts."""
         import pyarrow.compute as pc
 
-        plain = pc.match_substring_regex(chunks, PLAIN).to_numpy(zero_copy_only=False)
-        if self.special:
-            plain = plain & ~pc.match_substring_regex(chunks, self.special).to_numpy(zero_copy_only=False)
-        if plain.all():
-            return self.plain_ids(chunks)
-        one, n_one = self.plain_ids(chunks.filter(pa.array(plain)))
-        two, n_two = self.others.ids(self.others.entries(chunks.filter(pa.array(~plain)).to_pylist(), self.whole_ids))
-        counts, starts = np.zeros((2, len(chunks)), np.int64)
-        counts[plain], counts[~plain] = n_one, n_two
-        starts[plain], starts[~plain] = np.cumsum(n_one) - n_one, len(one) + np.cumsum(n_two) - n_two
-        return gathered(np.concatenate([one, two]), starts, counts), counts
+        matches = lambda pattern: pc.match_substring_regex(chunks, pattern).to_numpy(zero_copy_only=False)
+        whole = matches(self.special) if self.special else np.zeros(len(chunks), bool)
+        words = matches(LETTERS) & ~whole
+        mixed = matches(PLAIN) & ~whole & ~words
+        others = ~(words | mixed)
+        one, pieces, n_pieces = self.plain_entries(chunks.filter(pa.array(words)), chunks.filter(pa.array(mixed)))
+        two, n_two = self.pieces.ids(pieces)
+        n_two = np.diff(np.r_[0, np.cumsum(n_two)][np.cumsum(n_pieces)], prepend=0)
+        three = self.others.entries(chunks.filter(pa.array(others)), self.whole_ids)
+        starts, counts = np.zeros((2, len(chunks)), np.int64)
+        base = len(self.pieces.pool)
+        starts[words], counts[words] = self.pieces.starts[one], self.pieces.counts[one]
+        starts[mixed], counts[mixed] = base + np.cumsum(n_two) - n_two, n_two
+        starts[others], counts[others] = base + len(two) + self.others.starts[three], self.others.counts[three]
+        return np.concatenate([self.pieces.pool, two, self.others.pool]), starts, counts
 
     def __call__(self, texts: pa.Array | list[str | None]) -> Iterator[np.ndarray]:
         """The ids (u32) of each text; a null text is empty."""
@@ -197,11 +219,11 @@ class ChunkEncoder:
         for part in slices(texts, PART_BYTES):
             if self.known:
                 # only ASCII white space splits: any other is the tokenizer's business
-                split = pc.ascii_split_whitespace(part)
+                split = pc.ascii_split_whitespace(part.cast(pa.string()))
                 coded = split.flatten().dictionary_encode()
-                flat, counts = self.chunk_ids(coded.dictionary)
+                pool, starts, counts = self.chunk_ids(coded.dictionary)
                 codes = coded.indices.to_numpy()
-                flat, counts = gathered(flat, (np.cumsum(counts) - counts)[codes], counts[codes]), counts[codes]
+                flat, counts = gathered(pool, starts[codes], counts[codes]), counts[codes]
                 ends = np.r_[0, np.cumsum(counts)][np.cumsum(split.value_lengths().to_numpy())]
             else:
                 flat, counts = self.whole_ids(part.to_pylist())
