@@ -2,9 +2,11 @@
 
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from tidemark.llm import near, suffix
 from tidemark.llm.near import dart_signatures, near_classes, without_copies
@@ -116,6 +118,23 @@ def test_darts_are_unbiased():
     assert abs(np.mean(agree) - 50 / 360) < 0.02
 
 
+def test_darts_of_many_short_texts():
+    rows, size = 10_000, 8
+    hashes = np.random.default_rng(2).integers(0, 1 << 62, rows * size)
+    ids, lists = pa.array(np.arange(rows)), pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * size), pa.array(hashes))
+    batch = pa.RecordBatch.from_arrays([ids, ids, ids, lists], ["doc_id", "c1", "c2", "words"])
+    tracemalloc.start()
+    made = list(near._signed(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150 << 20
+    assert [d for x in made for d in x.column("doc_id").to_pylist()] == list(range(rows))
+    bands = [b for x in made for b in x.column("bands").to_pylist()]
+    for at in range(0, rows, 500):  # each as if it were alone
+        (alone,) = near._signed(iter([batch.slice(at, 1)]))
+        assert alone.column("bands").to_pylist() == [bands[at]]
+
+
 def brute(texts, n=200):
     data = [(t or "").encode() for t in texts]
     count = Counter(b[i : i + n] for b in data for i in range(len(b) - n + 1))

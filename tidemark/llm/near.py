@@ -40,8 +40,9 @@ COORDINATES = BANDS * ROWS
 ROUNDS = 2
 #: Cells are ordered by counts in so many buckets over all documents to be filtered; any order is right, seldom first is fast.
 SKETCH = 1 << 18
-#: Words handled at once in a worker.
+#: Words handled at once in a worker, and documents: each has about 820 darts, however short it is.
 PART_WORDS = 1 << 18
+PART_DOCS = 1 << 10
 
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -117,12 +118,12 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
 
 
 def _parts(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Slices of a batch with the hashes of their words and the counts of these, a bounded number each."""
+    """Slices of a batch with the hashes of their words and the counts of these, a bounded number of documents and words each."""
     lists = batch.column(column)
     offsets = lists.offsets.to_numpy()
     at = 0
     while at < batch.num_rows:
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + PART_WORDS, side="right")) - 1)
+        to = min(at + PART_DOCS, max(at + 1, int(np.searchsorted(offsets, offsets[at] + PART_WORDS, side="right")) - 1))
         words = lists.values.slice(offsets[at], offsets[to] - offsets[at]).to_numpy(zero_copy_only=False).view(np.uint64)
         yield batch.slice(at, to - at), words, np.diff(offsets[at : to + 1]).astype(np.int64)
         at = to
