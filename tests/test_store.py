@@ -9,6 +9,8 @@ import sys
 from pathlib import Path
 
 import model
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from tidemark.operators.config import SeriesConfig
@@ -18,7 +20,8 @@ from tidemark.operators.config import config_frame, read_configs
 from tidemark.functions.algebra import FIELDS
 from tidemark.plans.history import REQUESTS, Request
 from tidemark.sources.store import Conflict, Store, due
-from tidemark.streaming.ingest import completed, write_chunks_to_store, write_to_store
+from tidemark.streaming.ingest import advance, completed, write_chunks_to_store, write_to_store
+from tidemark.streaming.runs import in_order
 
 SCHEMA = "metric string, arrival long, time long, value double"
 CONFIGS = {"x": SeriesConfig(100, 10000, 10), "y": SeriesConfig(50, 5000, 10), "none": SeriesConfig(100, 1000, 10)}
@@ -182,6 +185,37 @@ def test_state_within_the_stream(spark, whole, tmp_path):
     assert level_rows(found.where("level > 0")) == whole[1]
 
 
+@pytest.mark.parametrize("disorder", (0, 30, 100000))
+def test_a_metric_beyond_what_is_sorted_at_once(disorder):
+    """A batch of one metric in bounded pieces, through sorted runs that are merged in several rounds."""
+    rng = np.random.default_rng(3)
+    n = 5000
+    pdf = pd.DataFrame({"arrival": np.arange(n) // 3, "time": np.cumsum(rng.choice([0, 2, 9, 400], n)) + 90, "value": rng.integers(-9, 9, n).astype(float)})
+    pdf.loc[rng.random(n) < 0.1, "value"] = math.nan
+    pdf.loc[rng.random(n) < 0.1, "time"] -= 50
+    pdf = pdf.iloc[np.argsort(np.arange(n) + rng.integers(0, disorder + 1, n), kind="stable")]
+    pieces, state, out = list(in_order((pdf.iloc[i : i + 7] for i in range(0, n, 7)), 0, rows=64, fan_in=3)), None, []
+    assert len(pieces) > 20 and max(map(len, pieces)) <= 128
+    whole, end = advance(CONFIGS["x"], "x", pdf, None)
+    for piece in pieces:
+        table, state = advance(CONFIGS["x"], "x", piece, state)
+        out.append(table)
+    key = ["level", "time", "repeat"]
+    both = [x.astype(dict.fromkeys([*key, "count"], float)).sort_values(key).reset_index(drop=True) for x in (pd.concat(out), whole)]
+    pd.testing.assert_frame_equal(*both, check_dtype=False)
+    assert state == end
+
+
+def test_state_within_the_stream_in_pieces(spark, whole, tmp_path):
+    rows = [(m, None if i == 0 else i, t, v) for m, i, t, v in samples()] + [("x", 9, None, 1.0)]
+    for lo, hi in ((0, 60), (60, 161)):
+        out = completed(stream_of(spark, rows[lo:hi], f"{tmp_path}/in"), CONFIGS, rows=8).writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/check")
+        out.trigger(availableNow=True).start(f"{tmp_path}/out").awaitTermination()
+    found = spark.read.parquet(f"{tmp_path}/out")
+    assert sorted(map(tuple, found.where("level = 0").select("metric", "time", "value").collect())) == whole[0]
+    assert level_rows(found.where("level > 0")) == whole[1]
+
+
 def test_code_reaches_workers(tmp_path):
     """From a folder that isn't the repository's, with Python workers that don't see it."""
     top = Path(__file__).resolve().parents[1]

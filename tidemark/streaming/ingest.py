@@ -5,8 +5,8 @@ for its stream. Whatever a crash leaves undone is done again or found done; stat
 together. The store's open intervals seed any new stream.
 
 completed() is the same as an operator within a stream, without a store. State of a metric: its last accepted time and the open
-interval of each level. A batch's samples of one metric are held and sorted by one task, so batches should
-be bounded (maxFilesPerTrigger and the like); late and repeated samples are dropped; wall time closes nothing.
+interval of each level. A batch's samples of one metric are sorted by one task, in bounded memory: more than RUN_ROWS of them through
+sorted runs in a temporary file; late and repeated samples are dropped; wall time closes nothing.
 Output rows are samples (level 0) and level rows with repeat, as the batch plans make them.
 """
 
@@ -27,6 +27,7 @@ from tidemark.operators.config import SeriesConfig, config_frame
 from tidemark.operators.samples import decode_chunks, route
 from tidemark.sources.store import Files, Store
 from tidemark.streaming.code import ship
+from tidemark.streaming.runs import RUN_ROWS, accepted, in_order
 
 OUTPUT = "metric string, level long, time long, repeat long, value double, minimum double, maximum double, sum double, count long, integral double, active_time long"
 STATE = "last long, bucket array<long>, minimum array<double>, maximum array<double>, sum array<double>, count array<long>, integral array<double>, active_time array<long>"
@@ -35,13 +36,6 @@ CHUNK_POINTS = 1 << 20
 NAMES = [c.split()[0] for c in OUTPUT.split(", ")]
 
 
-def accepted(time: np.ndarray, value: np.ndarray, last: int) -> np.ndarray:
-    """Which samples, in order of arrival, are later than all accepted before."""
-    clock = np.where(np.isfinite(value), time, np.iinfo(np.int64).min)
-    before = np.maximum.accumulate(np.r_[last, clock])[:-1]
-    return np.isfinite(value) & (time > before)
-
-
 def intervals(time: np.ndarray, prev: np.ndarray, value: np.ndarray, level: int, open_at: int | None, held: list) -> tuple[pd.DataFrame, int, list]:
     """Completed rows of one level for new segments, and the interval that stays open with its aggregate."""
     b0, b1 = prev // level, time // level
@@ -90,21 +84,30 @@ def advance(config: SeriesConfig, metric: str, pdf: pd.DataFrame, state: tuple |
     return table, (int(time[-1]), *after)
 
 
-def completed(samples: DataFrame, configs: dict[str, SeriesConfig]) -> DataFrame:
-    """A stream of samples (metric, arrival, time, value) as a stream of OUTPUT rows; a metric that isn't configured is an error."""
+def advances(config: SeriesConfig, metric: str, batches: Iterable[pd.DataFrame], state: tuple | None, rows: int = RUN_ROWS) -> Iterator[tuple[pd.DataFrame, tuple | None]]:
+    """The same for new samples in any number, about so many at once: output rows and the state after them."""
+    for pdf in in_order(batches, state[0] if state else 0, rows):
+        table, state = advance(config, metric, pdf, state)
+        yield table, state
+
+
+def completed(samples: DataFrame, configs: dict[str, SeriesConfig], rows: int = RUN_ROWS) -> DataFrame:
+    """A stream of samples (metric, arrival, time, value) as a stream of OUTPUT rows; a metric that isn't configured is an error. rows: samples
+    that a task sorts at once."""
     ship(samples.sparkSession)
 
     def step(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if key[0] not in configs:
             raise ValueError(f"metric {key[0]!r} isn't configured")
-        pdf = pd.concat(list(batches), ignore_index=True)
-        table, new = advance(configs[key[0]], key[0], pdf, state.get if state.exists else None)
+        kinds, new = {"level": "int64", "time": "int64", "repeat": "int64"}, None
+        for table, new in advances(configs[key[0]], key[0], batches, state.get if state.exists else None, rows):
+            yield table.astype(kinds)
         if new is not None:
             state.update(new)
-        kinds = {"level": "int64", "time": "int64", "repeat": "int64"}
-        yield table.astype(kinds)
 
-    chosen = samples.select("metric", "arrival", "time", F.col("value").cast("double").alias("value"))
+    # as in accept(): a null arrival is the first; a null time is none, and time 0 is never accepted
+    arrival, time = F.coalesce(F.col("arrival").cast("long"), F.lit(-(1 << 63))), F.coalesce("time", F.lit(0).cast("long"))
+    chosen = samples.select("metric", arrival.alias("arrival"), time.alias("time"), F.col("value").cast("double").alias("value"))
     return chosen.groupBy("metric").applyInPandasWithState(step, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
