@@ -8,8 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 from tidemark.functions.algebra import FIELDS
 from tidemark.operators.config import SeriesConfig
+from tidemark.operators import hierarchy as hierarchy_module
 from tidemark.operators.hierarchy import expand, hierarchy, rolled_up
-from tidemark.operators.samples import accept
+from tidemark.operators.samples import Stretches, accept
 from tidemark.plans.history import Request, ResponseTooLarge, aggregate_from_levels, aggregate_windows, delta_encoded, history
 
 CONFIG = SeriesConfig(100, 10000, 10)
@@ -163,3 +164,33 @@ def test_many_stretches_and_cells(spark, data, monkeypatch):
         for level in CONFIG.levels():
             close(sorted(levels.get((m, level), {}).items()), sorted(model.level_rows(p, level).items()))
     test_aggregates_by_other_ways(spark, data)
+
+
+def test_numbering_stretches_is_compiled(spark):
+    """Methods of over 8,000 bytes are interpreted by the JVM for good."""
+    cuts = Stretches(tuple(range(0, 6500, 100)), 5)
+    rows = spark.range(-50, 6550).select(F.when(F.col("id") != 77, F.col("id")).alias("id"))
+    out = rows.withColumn("c", cuts.of(F.col("id")))
+    plan = out._jdf.queryExecution().executedPlan()
+    made = spark._jvm.org.apache.spark.sql.execution.debug.package.codegenStringSeq(plan)
+    assert max(made.apply(i)._3().maxMethodCodeSize() for i in range(made.size())) < 8000
+    for r in out.collect():
+        x = None if r.id is None else min(max(r.id, 0), 6400)
+        i = None if x is None else min(x // 100, 63)
+        assert r.c == (-1 if x is None else 5 * i + min((x - 100 * i) // 21, 4))
+
+
+def test_samples_meet_the_lowest_level_only(spark):
+    """The coarser levels come from its rows, and the parts of samples are made once."""
+    raw = spark.createDataFrame([("x", t, 1.0) for t in (110, 250, 3300, 99000)], "metric string, time long, value double")
+    parts = []
+    with pytest.MonkeyPatch.context() as patch:
+        real = hierarchy_module.segment_parts
+        patch.setattr(hierarchy_module, "segment_parts", lambda *a: parts.append(real(*a)) or parts[-1])
+        rows = hierarchy_module.level_rows(raw, [100, 1000, 10000])
+    assert len(parts) == 1 and {r.level for r in parts[0].select("level").distinct().collect()} == {100}
+    points = [(r.time, r.value) for r in raw.collect()]
+    for level in (100, 1000, 10000):
+        found = {r.time: tuple(r[c] for c in FIELDS) for r in expand(rows.where(F.col("level") == level)).collect()}
+        assert found == model.level_rows(points, level)
+    assert rows.where("repeat > 1").count() >= 3

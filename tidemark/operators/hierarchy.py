@@ -18,10 +18,9 @@ COLUMNS = ("metric", "level", "time", "repeat", *FIELDS)
 
 
 def segment_parts(seg: DataFrame, decimal: bool) -> DataFrame:
-    """Rows (metric, level, b, repeat, FIELDS) of segments (metric, prev, time, value, levels): what each adds to the intervals that
-    it meets, at most three rows for each level. Products stay within the segment, so none overflows."""
+    """Rows (metric, level, b, repeat, FIELDS) of segments (metric, prev, time, value, level): what each adds to the intervals that
+    it meets, at most three rows. Products stay within the segment, so none overflows."""
     one, lv = F.lit(1).cast("long"), F.col("level")
-    seg = seg.withColumn("level", F.explode("levels"))
     seg = seg.withColumns({"b0": F.expr("prev div level"), "b1": F.expr("time div level")})
     part = lambda at, duration, n, repeat: F.struct(at.alias("b"), duration.alias("d"), F.lit(n).cast("long").alias("n"), repeat.alias("repeat"))
     # up to the end of its first interval, whole intervals, from the start of its last
@@ -36,23 +35,49 @@ def segment_parts(seg: DataFrame, decimal: bool) -> DataFrame:
 
 
 def met(flat: DataFrame) -> DataFrame:
-    """The parts of each interval added up. A run is whole intervals with this one part each; all other parts
-    meet in their interval, added up in each task before they move."""
-    mixed = flat.where("repeat = 1").groupBy("metric", "level", "b").agg(*added()).withColumn("repeat", F.lit(1).cast("long"))
-    return flat.where("repeat > 1").unionByName(mixed)
+    """The parts of each interval added up, in each task before they move. A run is whole intervals with this one part each, so
+    that it meets nothing: the parts are made once for both."""
+    return flat.groupBy("metric", "level", "b", "repeat").agg(*added())
+
+
+def raised(rows: DataFrame, levels: DataFrame | list[int], decimal: bool) -> DataFrame:
+    """rows, what new samples add to the intervals of the lowest level (met()), as what they add to those of every level, each of which
+    is a multiple of the lowest. A run keeps its shape: at most three rows for each level."""
+    one, f = F.lit(1).cast("long"), F.col("f")
+    rows = rows.join(levels, "metric") if isinstance(levels, DataFrame) else rows.withColumn("levels", F.array(*(F.lit(x).cast("long") for x in levels)))
+    rows = rows.withColumn("up", F.explode("levels")).withColumn("f", F.expr("up div level"))
+    rows = rows.withColumns({"p0": F.expr("b div f"), "p1": F.expr("(b + repeat - 1) div f")})
+    part = lambda at, n, again: F.struct(at.alias("b"), n.alias("n"), again.alias("repeat"))
+    same = F.array(part(F.col("b"), one, F.col("repeat")))
+    single = F.array(part(F.col("p0"), F.col("repeat"), one))
+    head = part(F.col("p0"), (F.col("p0") + 1) * f - F.col("b"), one)
+    run = part(F.col("p0") + 1, f, F.col("p1") - F.col("p0") - 1)
+    tail = part(F.col("p1"), F.col("b") + F.col("repeat") - F.col("p1") * f, one)
+    parts = F.when(f == 1, same).when(F.col("p0") == F.col("p1"), single).otherwise(F.filter(F.array(head, run, tail), lambda p: p["repeat"] > 0))
+    kinds = {c: rows.schema[c].dataType for c in ("sum", "integral")}
+    rows = rows.select("metric", F.col("up").alias("level"), *FIELDS, F.explode(parts).alias("p")).withColumns(times(F.col("p.n"), decimal))
+    return rows.select("metric", "level", "p.b", "p.repeat", *(F.col(c).cast(kinds[c]).alias(c) if c in kinds else F.col(c) for c in FIELDS))
 
 
 #: Whether an interval, or run, ends by the metric's last sample.
 COMPLETE = "b + repeat <= __last div level"
 
 
+def new_parts(seg: DataFrame, levels: DataFrame | list[int], decimal: bool) -> DataFrame:
+    """What segments (metric, prev, time, value) add to the intervals of all levels, not yet met but for the lowest."""
+    if isinstance(levels, list):
+        rows = met(segment_parts(seg.withColumn("level", F.lit(levels[0]).cast("long")), decimal))
+        return rows if len(levels) == 1 else raised(rows, levels, decimal)
+    lowest = levels.select("metric", F.get("levels", F.lit(0)).alias("level"))
+    return raised(met(segment_parts(seg.join(lowest, "metric"), decimal)), levels, decimal)
+
+
 def level_rows(raw: DataFrame, levels: list[int] | DataFrame, cuts: Stretches | None = None) -> DataFrame:
-    """Rows (COLUMNS) of levels straight from raw (metric, time, value): one pass over the samples and one exchange, in
-    which coarse levels are nearly free. levels: of all metrics, or a frame (metric, levels)."""
+    """Rows (COLUMNS) of levels from raw (metric, time, value): samples meet intervals of the lowest level, and these those of the
+    others. levels: of all metrics, or a frame (metric, levels), ascending."""
     last = raw.groupBy("metric").agg(F.max("time").alias("__last"))
-    seg = segments(raw, cuts)
-    seg = seg.join(levels, "metric") if isinstance(levels, DataFrame) else seg.withColumn("levels", F.array(*(F.lit(x).cast("long") for x in levels)))
-    runs = met(segment_parts(seg, is_decimal(raw))).join(last, "metric").where(COMPLETE)
+    runs = new_parts(segments(raw, cuts), levels, is_decimal(raw))
+    runs = (runs if isinstance(levels, list) and len(levels) == 1 else met(runs)).join(last, "metric").where(COMPLETE)
     return runs.select("metric", "level", (F.col("b") * F.col("level")).alias("time"), "repeat", *FIELDS)
 
 
@@ -63,7 +88,7 @@ def advanced(new: DataFrame, levels: DataFrame, state: DataFrame) -> DataFrame:
     was = state.groupBy("metric").agg(F.max("last").alias("__was"))
     now = new.groupBy("metric").agg(F.max("time").alias("__now"))
     seg = segments(new).join(was, "metric", "left").withColumn("prev", F.when(F.col("prev") == F.col("time"), F.coalesce("__was", "time")).otherwise(F.col("prev")))
-    flat = segment_parts(seg.join(levels, "metric"), is_decimal(new))
+    flat = new_parts(seg, levels, is_decimal(new))
     held_open = state.select("metric", "level", F.expr("time div level").alias("b"), F.lit(1).cast("long").alias("repeat"), *FIELDS)
     ends = now.join(was, "metric", "full").select("metric", F.coalesce("__now", "__was").alias("__last"))
     rows = met(flat.unionByName(held_open)).join(ends, "metric")

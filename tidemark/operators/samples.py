@@ -32,21 +32,25 @@ class Stretches:
 
     def of(self, column: Column) -> Column:
         """The number of a value's stretch, from 0; values outside belong to the first or the last, null to none: -1."""
+        n = max(1, len(self.edges) - 1)
+        ends = [self.edges[min(i + 1, len(self.edges) - 1)] for i in range(n)]
 
-        def within(i: int) -> Column:
-            lo, hi = self.edges[i], self.edges[min(i + 1, len(self.edges) - 1)]
-            if self.each == 1:
-                return F.lit(i).cast("long")
-            at = F.floor((F.greatest(F.least(column, F.lit(hi)), F.lit(lo)) - lo) / max(1, -(-(hi - lo + 1) // self.each)))
-            return F.least(at.cast("long"), F.lit(self.each - 1).cast("long")) + i * self.each
-
+        # leaves are bare numbers: with more in them a stage's method is too long (8,000 bytes) for the JVM to compile
         def between(i: int, j: int) -> Column:
             if j - i <= 1:
-                return within(i)
+                return F.lit(i).cast("long")
             middle = (i + j) // 2
             return F.when(column < self.edges[middle], between(i, middle)).otherwise(between(middle, j))
 
-        return F.coalesce(F.when(column.isNotNull(), between(0, len(self.edges) - 1)), F.lit(-1).cast("long"))
+        found = between(0, n)
+        if self.each > 1:
+            of = lambda values: F.get(F.array(*(F.lit(x).cast("long") for x in values)), found.cast("int"))
+            lo, hi = of(self.edges[:n]), of(ends)
+            width = of([max(1, -(-(b - a + 1) // self.each)) for a, b in zip(self.edges, ends, strict=False)])
+            at = F.floor((F.greatest(F.least(column, hi), lo) - lo) / width).cast("long")
+            found = F.least(at, F.lit(self.each - 1).cast("long")) + found * self.each
+        # what is used three times is computed once only where no condition guards it
+        return F.coalesce(found + (column - column).cast("long"), F.lit(-1).cast("long"))
 
 
 ONE = Stretches((0,))
